@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from floeline.llm import exact_dedup
+from floeline.llm import exact_dedup, media, mixing
 
 
 def queries() -> dict:
-    return {"op2_exact_dedup": exact_dedup.op2_exact_dedup}
+    return {
+        "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op4_source_mixing": mixing.op4_source_mixing,
+        "op8_media_columns": media.op8_media_columns,
+    }
 
 
 def oracle_sql() -> dict:
