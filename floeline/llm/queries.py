@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from floeline.llm import exact_dedup, media, mixing
+from floeline.llm import bpe, exact_dedup, langid, media, mixing, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_bpe": bpe.op1_bpe,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_source_mixing": mixing.op4_source_mixing,
+        "op5_language_id": langid.op5_language_id,
         "op8_media_columns": media.op8_media_columns,
     }
 
