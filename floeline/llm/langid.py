@@ -56,11 +56,13 @@ class LanguageModel:
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list:
     """Rows (text, lang): for each language the documents that come first by a hash of their id."""
     usable = docs.filter((remainder(id_col, 5) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_BYTES))
-    usable = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(5), F.col(id_col)).alias("h"))
-    top = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    ranked = usable.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= SAMPLE_PER_LANGUAGE)
-    return ranked.join(F.broadcast(top.select("lang")), "lang", "left_semi").orderBy("lang", "r").select("text", "lang").collect()
+    # Ids and lengths are ranked; only the chosen documents' texts move.
+    ids = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("__id"), F.xxhash64(F.lit(5), F.col(id_col)).alias("h"))
+    top = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    ranked = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "__id"))).filter(F.col("r") <= SAMPLE_PER_LANGUAGE)
+    chosen = ranked.join(F.broadcast(top.select("lang")), "lang", "left_semi").select("__id", "lang", "r")
+    texts = usable.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(chosen), "__id").orderBy("lang", "r", "text").select("text", "lang").collect()
 
 
 def fit(sample: list, seed: int = 5) -> LanguageModel | None:

@@ -174,5 +174,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: fl
     )
 
 
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it.
+
+    A document of size 0 costs nothing and stays once. Ids are taken to be unique;
+    rows that share one get the largest of their numbers of copies.
+    """
+    taken = mix(docs, weights, share, most, id_col, text_col, source_col)
+    times = taken.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).alias("__times"))
+    repeated = docs.join(times.filter("__times > 0"), docs[id_col].eqNullSafe(F.col("__id")))
+    return repeated.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times").cast("long")))).select(*[repeated[c] for c in docs.columns])
+
+
 def op4_source_mixing(spark, sf_dir) -> DataFrame:
     return mix(documents(spark, sf_dir)).drop("source")

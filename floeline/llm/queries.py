@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from floeline.llm import bpe, exact_dedup, langid, media, mixing, toxicity
+from floeline.llm import bpe, exact_dedup, langid, media, mixing, near_dedup, quality, toxicity
 
 
 def queries() -> dict:
@@ -12,7 +12,9 @@ def queries() -> dict:
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_source_mixing": mixing.op4_source_mixing,
         "op5_language_id": langid.op5_language_id,
+        "op6_near_dedup": near_dedup.op6_near_dedup,
         "op8_media_columns": media.op8_media_columns,
+        "op9_quality": quality.op9_quality,
     }
 
 

@@ -159,7 +159,7 @@ def score_documents(docs: DataFrame, model, id_col: str, text_col: str, cut: flo
         m = shared.value
         for batch in batches:
             score = np.zeros(batch.num_rows)
-            for i, j, buf, off in text_slices(batch.column(2)):
+            for i, j, buf, off in text_slices(batch.column(2), 1 << 19):
                 score[i:j] = m.scores(buf, off)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= cut).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
