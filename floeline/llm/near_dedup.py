@@ -13,9 +13,9 @@ Copies are collapsed first, so a group of equal texts is one node. Of a
 bucket's members, each is verified against the smallest one (no pairs within
 the bucket). That may miss links between two members that are both far from it,
 so buckets whose members are still in different components go through a second
-round: all pairs of different components are compared in blocks, without those
-that the triangle inequality rules out (one minus the similarity is a metric),
-and verified. Each class is a connected component of verified links.
+round: pairs of different components are compared in blocks, without those that
+the triangle inequality rules out (one minus the similarity is a metric) or whose
+registers agree far too seldom, and the rest is verified. Each class is a connected component of verified links.
 
 Defined cases: null text counts as empty; texts without words are similar only
 to equal texts; a text of fewer than five words is one shingle; a row without id
@@ -42,6 +42,8 @@ BANDS, BAND_ROWS = 32, 6
 REGISTERS = BANDS * BAND_ROWS
 #: Nodes up to which a set of ids is broadcast (8 bytes each); beyond, a shuffle join.
 BROADCAST_IDS = 2_000_000
+#: How far below the threshold the registers' agreement may be for a pair to be verified: over five standard deviations.
+ESTIMATE_SLACK = 0.15
 #: Members of a bucket that one block of the second round holds.
 BLOCK = 1024
 
@@ -131,20 +133,22 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _sign(rows: DataFrame) -> DataFrame:
-    """(doc_id, text_key, bands); bands null for texts without words."""
+    """(doc_id, text_key, bands, sketch); bands null for texts without words, the sketch holds 16 bits of each register."""
 
     def sign(batches):
         for batch in batches:
             for i, j, buf, off in text_slices(batch.column(2)):
                 value, owner, weight = shingles(buf, off)
                 n = j - i
-                keys = bands(registers(value, owner, weight, n)).view(np.int64).reshape(-1)
+                kept = registers(value, owner, weight, n)
+                keys = bands(kept).view(np.int64).reshape(-1)
+                sketch = (kept >> np.uint64(48)).astype(np.uint16)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys, pa.int64()))
                 none = np.bincount(owner, minlength=n) == 0
                 lists = pa.compute.if_else(pa.array(none), pa.scalar(None, lists.type), lists)
-                yield pa.record_batch([batch.column(0).slice(i, n), batch.column(1).slice(i, n), lists], names=["doc_id", "text_key", "bands"])
+                yield pa.record_batch([batch.column(0).slice(i, n), batch.column(1).slice(i, n), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "text_key", "bands", "sketch"])
 
-    return rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), "text").mapInArrow(sign, "doc_id long, text_key string, bands array<long>")
+    return rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), "text").mapInArrow(sign, "doc_id long, text_key string, bands array<long>, sketch binary")
 
 
 def _of_ids(ids: DataFrame) -> DataFrame:
@@ -179,22 +183,25 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 def _cross_pairs(entries: DataFrame, threshold: float) -> DataFrame:
     """(a, b): pairs of a bucket's members in different components that may be similar.
 
-    Rows: bucket, node, comp, dist (to the bucket's smallest member), n. A bucket is dealt to
+    Rows: bucket, node, comp, sketch, dist (to the bucket's smallest member), n. A bucket is dealt to
     pairs of blocks, so that no task sees more than two blocks' members at once.
     """
+    agree = threshold - ESTIMATE_SLACK
     blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
     dealt = entries.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "dist")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "dist", "sketch")
 
     def pairs(table: pa.Table) -> pa.Table:
         node, comp, dist, own = (table.column(c).to_numpy() for c in ("node", "comp", "dist", "own"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
         found_a, found_b = [], []
         for x in left:
             near = right[(comp[right] != comp[x]) & (np.abs(dist[right] - dist[x]) <= 1 - threshold + 1e-9)]
             near = near[node[near] > node[x]] if i == j else near
+            near = near[(sketch[near] == sketch[x]).mean(axis=1) >= agree]
             found_a.append(np.minimum(node[near], node[x]))
             found_b.append(np.maximum(node[near], node[x]))
         join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
@@ -209,7 +216,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
     signed = written(_sign(rows), "near-signed")
     known = signed.filter("doc_id IS NOT NULL")
     # Equal texts have equal bands, so any copy's will do.
-    copies = settled(known.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")))
+    copies = settled(known.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
     banded = copies.filter("bands IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1")
     entries = settled(banded.join(buckets, "bucket"))
@@ -221,7 +228,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
     member = entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
     rest = member.join(mixed, "bucket").join(first.select(F.col("a").alias("rep"), F.col("b").alias("node"), "sim"), ["rep", "node"], "left")
-    rest = rest.select("bucket", "node", "comp", F.when(F.col("node") == F.col("rep"), 0.0).otherwise(1 - F.coalesce("sim", F.lit(0.0))).alias("dist"), "n")
+    rest = rest.join(copies.select("node", "sketch"), "node")
+    rest = rest.select("bucket", "node", "comp", "sketch", F.when(F.col("node") == F.col("rep"), 0.0).otherwise(1 - F.coalesce("sim", F.lit(0.0))).alias("dist"), "n")
     pairs = settled(_cross_pairs(rest, threshold).join(stars, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         more = verified(pairs, rows).filter(F.col("sim") >= threshold).select("a", "b")
