@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from floeline.llm import bpe, exact_dedup, langid, media, mixing, near_dedup, quality, toxicity
+from floeline.llm import bpe, exact_dedup, hpy, langid, media, mixing, near_dedup, quality, substrings, toxicity
 
 
 def queries() -> dict:
@@ -13,8 +13,10 @@ def queries() -> dict:
         "op4_source_mixing": mixing.op4_source_mixing,
         "op5_language_id": langid.op5_language_id,
         "op6_near_dedup": near_dedup.op6_near_dedup,
+        "op7_hpy_score": hpy.op7_hpy_score,
         "op8_media_columns": media.op8_media_columns,
         "op9_quality": quality.op9_quality,
+        "op10_suffix_dedup": substrings.op10_suffix_dedup,
     }
 
 
