@@ -2,10 +2,34 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from floeline.operators.graph import levels
+from floeline.plans.state_queries import QUERIES, text_for
+from floeline.sources.state import duck_sql, run_sql, table
+
+
+def dag_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return levels(table(spark, sf_dir, "steps"), run_sql(spark, sf_dir, text_for("dag_edges", "spark"))).select("run_id", "name", "level")
+
+
+DAG_LEVELS = """
+WITH RECURSIVE e AS (EDGES), t(run_id, name, level) AS (SELECT run_id, name, 0 FROM steps WHERE depends_on = '' UNION SELECT e.run_id, e.dst, t.level + 1 FROM t JOIN e ON e.run_id = t.run_id AND e.src = t.name)
+SELECT run_id, name, CAST(MAX(level) AS BIGINT) AS level FROM t GROUP BY run_id, name
+"""
+
 
 def queries() -> dict:
-    return {}
+    def bound(name: str):
+        return lambda spark, sf_dir: run_sql(spark, sf_dir, text_for(name, "spark"))
+
+    return {name: bound(name) for name in QUERIES} | {"dag_levels": dag_levels}
 
 
 def oracle_sql() -> dict:
-    return {}
+    found = {name: duck_sql(text_for(name, "duck")) for name in QUERIES}
+    edges = duck_sql(text_for("dag_edges", "duck"))
+    head, _, tail = edges.rpartition("SELECT s.run_id, x.dep")
+    found["dag_levels"] = head.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", " + DAG_LEVELS.replace("EDGES", "SELECT s.run_id, x.dep" + tail).replace("WITH RECURSIVE ", "", 1)
+    found["run_tree"] = duck_sql(QUERIES["run_tree"]).replace("WITH runs", "WITH RECURSIVE runs", 1).replace(" WITH RECURSIVE t(", ", t(", 1)
+    return found
