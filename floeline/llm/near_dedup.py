@@ -183,25 +183,29 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 def _cross_pairs(entries: DataFrame, threshold: float) -> DataFrame:
     """(a, b): pairs of a bucket's members in different components that may be similar.
 
-    Rows: bucket, node, comp, sketch, dist (to the bucket's smallest member), n. A bucket is dealt to
+    Rows: bucket, band, node, comp, sketch, dist (to the bucket's smallest member), n. A bucket is dealt to
     pairs of blocks, so that no task sees more than two blocks' members at once.
     """
     agree = threshold - ESTIMATE_SLACK
     blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
     dealt = entries.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "dist", "sketch")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "dist", "sketch", "band")
 
     def pairs(table: pa.Table) -> pa.Table:
         node, comp, dist, own = (table.column(c).to_numpy() for c in ("node", "comp", "dist", "own"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+        band = table.column("band")[0].as_py()
         found_a, found_b = [], []
         for x in left:
             near = right[(comp[right] != comp[x]) & (np.abs(dist[right] - dist[x]) <= 1 - threshold + 1e-9)]
             near = near[node[near] > node[x]] if i == j else near
-            near = near[(sketch[near] == sketch[x]).mean(axis=1) >= agree]
+            same = sketch[near] == sketch[x]
+            # A pair that shares several bands is compared in the bucket of the first.
+            lead = same.reshape(len(near), BANDS, BAND_ROWS).all(axis=2).argmax(axis=1) == band
+            near = near[lead & (same.mean(axis=1) >= agree)]
             found_a.append(np.minimum(node[near], node[x]))
             found_b.append(np.maximum(node[near], node[x]))
         join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
@@ -217,7 +221,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
     known = signed.filter("doc_id IS NOT NULL")
     # Equal texts have equal bands, so any copy's will do.
     copies = settled(known.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
-    banded = copies.filter("bands IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
+    banded = copies.filter("bands IS NOT NULL").select("node", F.posexplode("bands").alias("band", "bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1")
     entries = settled(banded.join(buckets, "bucket"))
     stars = settled(entries.filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())
@@ -229,7 +233,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
     mixed = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
     rest = member.join(mixed, "bucket").join(first.select(F.col("a").alias("rep"), F.col("b").alias("node"), "sim"), ["rep", "node"], "left")
     rest = rest.join(copies.select("node", "sketch"), "node")
-    rest = rest.select("bucket", "node", "comp", "sketch", F.when(F.col("node") == F.col("rep"), 0.0).otherwise(1 - F.coalesce("sim", F.lit(0.0))).alias("dist"), "n")
+    rest = rest.select("bucket", "band", "node", "comp", "sketch", F.when(F.col("node") == F.col("rep"), 0.0).otherwise(1 - F.coalesce("sim", F.lit(0.0))).alias("dist"), "n")
     pairs = settled(_cross_pairs(rest, threshold).join(stars, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         more = verified(pairs, rows).filter(F.col("sim") >= threshold).select("a", "b")
