@@ -15,7 +15,10 @@ the bucket). That may miss links between two members that are both far from it,
 so buckets whose members are still in different components go through a second
 round: pairs of different components are compared in blocks, without those that
 the triangle inequality rules out (one minus the similarity is a metric) or whose
-registers agree far too seldom, and the rest is verified. Each class is a connected component of verified links.
+registers agree far too seldom, and the rest is verified. It goes by closeness:
+each member's closest partner first, then the next few, then all that are still in
+different components, so a group that hangs together through a few members does
+not verify all its pairs. Each class is a connected component of verified links.
 
 Defined cases: null text counts as empty; texts without words are similar only
 to equal texts; a text of fewer than five words is one shingle; a row without id
@@ -46,6 +49,8 @@ BROADCAST_IDS = 2_000_000
 ESTIMATE_SLACK = 0.15
 #: Members of a bucket that one block of the second round holds.
 BLOCK = 1024
+#: Where the windows of ranks begin in which the second round compares pairs; links found in one window spare the pairs of the next.
+RANKS = (0, 1, 8)
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,11 +185,13 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long, sim double")
 
 
-def _cross_pairs(entries: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of a bucket's members in different components that may be similar.
+def _cross_pairs(entries: DataFrame, threshold: float, lo: int, hi: int | None) -> DataFrame:
+    """(a, b): pairs of a bucket's members in different components that may be similar, by closeness.
 
     Rows: bucket, band, node, comp, sketch, dist (to the bucket's smallest member), n. A bucket is dealt to
-    pairs of blocks, so that no task sees more than two blocks' members at once.
+    pairs of blocks, so that no task sees more than two blocks' members at once. A pair's rank is its place
+    among the pairs of either member there, the most agreeing registers first; ranks lo to hi (None: all) are
+    given. Ranks do not depend on components, so windows that follow one another give each pair at most once.
     """
     agree = threshold - ESTIMATE_SLACK
     blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
@@ -192,24 +199,40 @@ def _cross_pairs(entries: DataFrame, threshold: float) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "dist", "sketch", "band")
 
+    def places(score: np.ndarray) -> np.ndarray:
+        """The place of each column in its row, the largest score first."""
+        order = np.argsort(-score, axis=1, kind="stable")
+        out = np.empty_like(order)
+        np.put_along_axis(out, order, np.broadcast_to(np.arange(score.shape[1]), score.shape), axis=1)
+        return out
+
     def pairs(table: pa.Table) -> pa.Table:
+        # By node: equal scores are ranked alike in every window.
+        table = table.sort_by("node")
         node, comp, dist, own = (table.column(c).to_numpy() for c in ("node", "comp", "dist", "own"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        if comp.min() == comp.max() or not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
         band = table.column("band")[0].as_py()
-        found_a, found_b = [], []
-        for x in left:
-            near = right[(comp[right] != comp[x]) & (np.abs(dist[right] - dist[x]) <= 1 - threshold + 1e-9)]
-            near = near[node[near] > node[x]] if i == j else near
-            same = sketch[near] == sketch[x]
+        score = np.full((len(left), len(right)), -1, dtype=np.int16)
+        for at, x in enumerate(left):
+            same = sketch[right] == sketch[x]
             # A pair that shares several bands is compared in the bucket of the first.
-            lead = same.reshape(len(near), BANDS, BAND_ROWS).all(axis=2).argmax(axis=1) == band
-            near = near[lead & (same.mean(axis=1) >= agree)]
-            found_a.append(np.minimum(node[near], node[x]))
-            found_b.append(np.maximum(node[near], node[x]))
-        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-        return pa.table({"a": pa.array(join(found_a), pa.int64()), "b": pa.array(join(found_b), pa.int64())})
+            lead = same.reshape(len(right), BANDS, BAND_ROWS).all(axis=2).argmax(axis=1) == band
+            total = same.sum(axis=1)
+            go = lead & (total >= agree * REGISTERS) & (np.abs(dist[right] - dist[x]) <= 1 - threshold + 1e-9) & (node[right] != node[x])
+            score[at, go] = total[go]
+        rank = np.minimum(places(score), places(score.T).T)
+        take = (score >= 0) & (comp[left][:, None] != comp[right]) & (rank >= lo)
+        if hi is not None:
+            take &= rank < hi
+        if i == j:
+            take &= node[left][:, None] < node[right]
+        p, q = np.nonzero(take)
+        x, y = node[left[p]], node[right[q]]
+        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
 
     return dealt.groupBy("bucket", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
 
@@ -228,16 +251,17 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
     first = settled(verified(stars, rows))
     links = first.filter(F.col("sim") >= threshold).select("a", "b")
     comps = components(links)
-    # Second round: buckets that still hold several components.
-    member = entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
-    rest = member.join(mixed, "bucket").join(first.select(F.col("a").alias("rep"), F.col("b").alias("node"), "sim"), ["rep", "node"], "left")
-    rest = rest.join(copies.select("node", "sketch"), "node")
-    rest = rest.select("bucket", "band", "node", "comp", "sketch", F.when(F.col("node") == F.col("rep"), 0.0).otherwise(1 - F.coalesce("sim", F.lit(0.0))).alias("dist"), "n")
-    pairs = settled(_cross_pairs(rest, threshold).join(stars, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        more = verified(pairs, rows).filter(F.col("sim") >= threshold).select("a", "b")
-        comps = components(settled(links.union(more)))
+    # Second round: buckets that still hold several components, their closest pairs first.
+    sims = first.select(F.col("a").alias("rep"), F.col("b").alias("node"), "sim")
+    for lo, hi in zip(RANKS, [*RANKS[1:], None], strict=True):
+        member = entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        mixed = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
+        rest = member.join(mixed, "bucket").join(sims, ["rep", "node"], "left").join(copies.select("node", "sketch"), "node")
+        rest = rest.select("bucket", "band", "node", "comp", "sketch", F.when(F.col("node") == F.col("rep"), 0.0).otherwise(1 - F.coalesce("sim", F.lit(0.0))).alias("dist"), "n")
+        pairs = settled(_cross_pairs(rest, threshold, lo, hi).join(stars, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            links = settled(links.union(verified(pairs, rows).filter(F.col("sim") >= threshold).select("a", "b")))
+            comps = components(links)
     classes = copies.select("text_key", "node").join(comps, "node", "left").select("text_key", F.coalesce("comp", "node").alias("class_id"))
     named = known.select("doc_id", "text_key").join(classes, "text_key").select("doc_id", "class_id")
     return named.unionByName(signed.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id")))
