@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from floeline.llm.shared import documents, settled
+from floeline.llm.shared import documents, release, settled
 
 #: Newton steps; each is damped so that it never leaves the bracket of the root.
 NEWTON_STEPS = 14
@@ -87,19 +87,20 @@ def dual(histogram: DataFrame, goals: DataFrame, most: float = 3.0, steps: int =
         F.lit(-_REACH).alias("low"),
         F.lit(_REACH).alias("high"),
     )
+    # Whatever is known of a source travels through the aggregation, so a step is one join with a row a source.
+    known = ("target", "scale", "lam", "low", "high")
     for step in range(steps):
         x = F.col("lam") * F.col("size") / F.col("scale")
         rate = _rate(x, most)
-        sums = (
-            histogram.join(tilt.select(F.col("source").alias("s"), "lam", "scale"), F.col("source").eqNullSafe(F.col("s")))
+        tilt = (
+            histogram.join(tilt.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
             .groupBy("source")
             .agg(
+                *[F.first(c).alias(c) for c in known],
                 F.sum(F.col("docs") * F.col("size") * rate).alias("taken"),
                 F.sum(F.col("docs") * F.col("size") * F.col("size") / F.col("scale") * rate * (F.lit(1.0) - rate / most)).alias("slope"),
             )
-            .select(F.col("source").alias("s"), "taken", "slope")
         )
-        tilt = tilt.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
         short = F.coalesce("taken", F.lit(0.0)) < F.col("target")
         low, high = F.when(short, F.col("lam")).otherwise(F.col("low")), F.when(short, F.col("high")).otherwise(F.col("lam"))
         tilt = tilt.withColumns({"low": low, "high": high, "next": F.col("lam") + (F.col("target") - F.col("taken")) / F.nullif("slope", F.lit(0.0))})
@@ -107,7 +108,7 @@ def dual(histogram: DataFrame, goals: DataFrame, most: float = 3.0, steps: int =
         done = F.abs(F.col("taken") - F.col("target")) <= F.lit(1e-9) * F.col("target")
         moved = F.when(done, F.col("lam")).when(inside, F.col("next")).otherwise((F.col("low") + F.col("high")) / 2)
         tilt = tilt.select("source", "target", "scale", moved.alias("lam"), "low", "high")
-        if step % 3 == 2:
+        if step % 2:
             tilt = settled(tilt)
     return tilt
 
@@ -146,10 +147,11 @@ def _spread(cells: DataFrame, most: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies, rate, source."""
+    release(docs.sparkSession)
     sized = settled(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size")))
     goals = settled(targets(sized, weights, share, float(most)))
     histogram = settled(sized.groupBy("source", "size").agg(F.count("*").alias("docs")))
-    tilt = settled(dual(histogram.filter("size > 0"), goals, float(most)))
+    tilt = settled(dual(histogram, goals, float(most)))
     near = lambda left, right: left.join(right.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     rated = near(histogram.filter("size > 0"), tilt.select("source", "lam", "scale")).withColumn("rate", _rate(F.col("lam") * F.col("size") / F.col("scale"), float(most)))
     cells = settled(_spread(rated.select("source", "size", "docs", (F.col("docs") * F.col("rate")).alias("wish")), most))

@@ -51,6 +51,11 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the broadcasts, shuffle files and checkpoints that nothing refers to, and the driver shrink its heap."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def reachable(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver found it, whatever their working folder."""
     here = str(Path(__file__).resolve().parents[2])
