@@ -13,10 +13,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from floeline.llm import bpe, exact_dedup, langid, mixing, near_dedup
-from floeline.llm.shared import documents, shared_dir
+from floeline.llm.shared import documents, reachable, shared_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reachable(spark)
     return langid.accepted_documents(docs)
 
 

@@ -56,8 +56,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Settings of the C library's and Arrow's allocators in Python workers: large arrays go back to the system when freed.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(2 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def reachable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver found it, whatever their working folder."""
+    """Lets Python workers import this package from where the driver found it, whatever their working folder,
+    and keeps idle workers small."""
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     here = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if here not in known.split(os.pathsep):
