@@ -25,9 +25,11 @@ _inverses = np.ones(1, dtype=np.uint64)
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser (murmur style); vectorised, wraps modulo 2**64."""
     x = x ^ np.uint64((seed * 0xD6E8FEB86659FD93 + 0x2545F4914F6CDD1D) & _MASK)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x ^= x >> np.uint64(33)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 #: A random 64-bit value for each byte, made by rule.
@@ -47,7 +49,9 @@ def prefix_hash(buf: np.ndarray) -> np.ndarray:
     """H with H[i] = sum of code(b_j) * P**j over j < i, modulo 2**64; length len(buf) + 1."""
     _grow(len(buf) + 1)
     out = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_CODE[buf] * _powers[: len(buf)], out=out[1:])
+    np.take(BYTE_CODE, buf, out=out[1:], mode="clip")
+    out[1:] *= _powers[: len(buf)]
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 
@@ -56,6 +60,14 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return mix((prefix[ends] - prefix[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64), seed)
 
 
+def rolling_hash(prefix: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """``span_hash`` of every span of ``width`` bytes, by place."""
+    out = prefix[width:] - prefix[:-width]
+    out *= _inverses[: len(out)]
+    out += np.uint64(width)
+    return mix(out, seed)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as the empty text."""
     if isinstance(column, pa.ChunkedArray):

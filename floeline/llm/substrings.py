@@ -33,7 +33,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floeline.llm.flat import flat, mix, prefix_hash, span_hash, text_slices
+from floeline.llm.flat import flat, mix, prefix_hash, rolling_hash, span_hash, text_slices
 from floeline.llm.shared import documents, settled, whole, written
 
 DEPTH = 100
@@ -95,26 +95,25 @@ def anchored(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if len(buf) < DEPTH:
         return np.zeros(0, dtype=np.uint64), none, none, none
     with np.errstate(over="ignore"):
-        begin = np.arange(len(buf) - ANCHOR + 1)
-        full = span_hash(prefix_hash(buf), begin, begin + ANCHOR, 17)
-    packed = (full & ~_PLACE) | begin.astype(np.uint64)
-    least, width = packed, 1
+        full = rolling_hash(prefix_hash(buf), ANCHOR, 17)
+    least, width = full & ~_PLACE, 1
+    least |= np.arange(len(least), dtype=np.uint64)
     while width * 2 <= reach:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     rest = reach - width
     least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-    valid = np.zeros(len(least), dtype=bool)
-    change = np.zeros(len(least) + 1, dtype=np.int32)
+    change = np.zeros(len(least) + 1, dtype=np.int8)
     long = np.flatnonzero(np.diff(off) >= DEPTH)
     np.add.at(change, off[long], 1)
     np.add.at(change, off[long + 1] - DEPTH + 1, -1)
-    valid = np.cumsum(change[:-1]) > 0
-    windows = np.flatnonzero(valid)
-    place = (least[windows] & _PLACE).astype(np.int64)
-    edge = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1)])) if len(windows) else none
-    last = np.append(edge[1:], len(windows)) - 1 if len(edge) else none
-    return full[place[edge]], place[edge], windows[edge], windows[last]
+    valid = np.cumsum(change[:-1], dtype=np.int8).view(bool)
+    # A run of windows begins or ends where the next one has another anchor or is none.
+    parted = (least[1:] != least[:-1]) | ~(valid[1:] & valid[:-1])
+    first = np.flatnonzero(valid & np.concatenate([[True], parted]))
+    last = np.flatnonzero(valid & np.concatenate([parted, [True]]))
+    place = (least[first] & _PLACE).astype(np.int64)
+    return full[place], place, first, last
 
 
 def _buckets(total_bytes: int) -> int:
