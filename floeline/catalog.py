@@ -4,15 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from floeline.functions.cron import fire
 from floeline.operators.graph import levels
 from floeline.plans.state_queries import QUERIES, text_for
-from floeline.sources.state import duck_sql, run_sql, table
+from floeline.sources.state import NOW, duck_sql, run_sql, table
+from floeline.streaming.events import bound_runs, drained, emitted_stream
 
 
 def dag_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels(table(spark, sf_dir, "steps"), run_sql(spark, sf_dir, text_for("dag_edges", "spark"))).select("run_id", "name", "level")
 
 
+def cron_fire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schedules due at the fixed clock, with their next times."""
+    return fire(spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr(*CRONS), NOW)
+
+
+def stream_event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that the subscriptions start, from the events read as a stream."""
+    runs = bound_runs(emitted_stream(spark, f"{sf_dir}/events.parquet"), table(spark, sf_dir, "subscriptions"))
+    return drained(runs, "event-runs").select("run_id", "task", "seq")
+
+
+#: Schedules derived from the nations, around the fixed clock.
+CRONS = [
+    "CONCAT('c', CAST(n_nationkey AS STRING)) AS name",
+    "CASE n_nationkey % 4 WHEN 0 THEN '@every 90m' WHEN 1 THEN '@hourly' WHEN 2 THEN '30 6 * * *' ELSE '@weekly' END AS spec",
+    f"CAST({NOW} + (n_nationkey - 12) * 3600000000000 AS BIGINT) AS next_at",
+]
+HOUR, DAY = 3_600_000_000_000, 86_400_000_000_000
+#: The next times of these four kinds by arithmetic; 1970-01-04 was a Sunday.
+CRON_FIRE = f"""
+SELECT CONCAT('c', CAST(n_nationkey AS VARCHAR)) AS name, CAST({NOW} + (n_nationkey - 12) * {HOUR} AS BIGINT) AS occurrence,
+ CAST(CASE n_nationkey % 4 WHEN 0 THEN {NOW} + {HOUR} * 3 // 2 WHEN 1 THEN ({NOW} // {HOUR} + 1) * {HOUR}
+  WHEN 2 THEN (({NOW} - {HOUR} * 13 // 2) // {DAY} + 1) * {DAY} + {HOUR} * 13 // 2 ELSE (({NOW} - 3 * {DAY}) // (7 * {DAY}) + 1) * 7 * {DAY} + 3 * {DAY} END AS BIGINT) AS next_at
+FROM nation WHERE n_nationkey <= 12
+"""
 DAG_LEVELS = """
 WITH RECURSIVE e AS (EDGES), t(run_id, name, level) AS (SELECT run_id, name, 0 FROM steps WHERE depends_on = '' UNION SELECT e.run_id, e.dst, t.level + 1 FROM t JOIN e ON e.run_id = t.run_id AND e.src = t.name)
 SELECT run_id, name, CAST(MAX(level) AS BIGINT) AS level FROM t GROUP BY run_id, name
@@ -23,7 +50,7 @@ def queries() -> dict:
     def bound(name: str):
         return lambda spark, sf_dir: run_sql(spark, sf_dir, text_for(name, "spark"))
 
-    return {name: bound(name) for name in QUERIES} | {"dag_levels": dag_levels}
+    return {name: bound(name) for name in QUERIES} | {"dag_levels": dag_levels, "cron_fire": cron_fire, "stream_event_runs": stream_event_runs}
 
 
 def oracle_sql() -> dict:
@@ -32,4 +59,6 @@ def oracle_sql() -> dict:
     head, _, tail = edges.rpartition("SELECT s.run_id, x.dep")
     found["dag_levels"] = head.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", " + DAG_LEVELS.replace("EDGES", "SELECT s.run_id, x.dep" + tail).replace("WITH RECURSIVE ", "", 1)
     found["run_tree"] = duck_sql(QUERIES["run_tree"]).replace("WITH runs", "WITH RECURSIVE runs", 1).replace(" WITH RECURSIVE t(", ", t(", 1)
+    found["cron_fire"] = CRON_FIRE
+    found["stream_event_runs"] = duck_sql("SELECT CONCAT(s.task, '/', CAST(e.seq AS VARCHAR)) AS run_id, s.task, e.seq FROM {emitted} e JOIN {subscriptions} s ON s.event = e.name")
     return found

@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 def oracle():
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
-    for name in ("orders", "lineitem", "events"):
+    for name in ("orders", "lineitem", "events", "nation"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
     return con
 
