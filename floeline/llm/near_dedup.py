@@ -40,6 +40,8 @@ from floeline.llm.shared import documents, settled, whole, written
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+#: The similarity is a sum of fractions in floating point: a pair at the threshold exactly may come out this much lower.
+ROUNDING = 1e-9
 #: Bands and registers of each: a pair at 0.8 is missed with probability (1 - 0.8**6)**32 = 6e-5.
 BANDS, BAND_ROWS = 32, 6
 REGISTERS = BANDS * BAND_ROWS
@@ -185,6 +187,11 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long, sim double")
 
 
+def linked(sims: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of the verified pairs that are as similar as ``threshold`` or more."""
+    return sims.filter(F.col("sim") >= threshold - ROUNDING).select("a", "b")
+
+
 def _cross_pairs(entries: DataFrame, threshold: float, lo: int, hi: int | None) -> DataFrame:
     """(a, b): pairs of a bucket's members in different components that may be similar, by closeness.
 
@@ -222,7 +229,7 @@ def _cross_pairs(entries: DataFrame, threshold: float, lo: int, hi: int | None)
             # A pair that shares several bands is compared in the bucket of the first.
             lead = same.reshape(len(right), BANDS, BAND_ROWS).all(axis=2).argmax(axis=1) == band
             total = same.sum(axis=1)
-            go = lead & (total >= agree * REGISTERS) & (np.abs(dist[right] - dist[x]) <= 1 - threshold + 1e-9) & (node[right] != node[x])
+            go = lead & (total >= agree * REGISTERS) & (np.abs(dist[right] - dist[x]) <= 1 - threshold + ROUNDING) & (node[right] != node[x])
             score[at, go] = total[go]
         rank = np.minimum(places(score), places(score.T).T)
         take = (score >= 0) & (comp[left][:, None] != comp[right]) & (rank >= lo)
@@ -249,7 +256,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
     entries = settled(banded.join(buckets, "bucket"))
     stars = settled(entries.filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())
     first = settled(verified(stars, rows))
-    links = first.filter(F.col("sim") >= threshold).select("a", "b")
+    links = linked(first, threshold)
     comps = components(links)
     # Second round: buckets that still hold several components, their closest pairs first.
     sims = first.select(F.col("a").alias("rep"), F.col("b").alias("node"), "sim")
@@ -260,7 +267,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
         rest = rest.select("bucket", "band", "node", "comp", "sketch", F.when(F.col("node") == F.col("rep"), 0.0).otherwise(1 - F.coalesce("sim", F.lit(0.0))).alias("dist"), "n")
         pairs = settled(_cross_pairs(rest, threshold, lo, hi).join(stars, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            links = settled(links.union(verified(pairs, rows).filter(F.col("sim") >= threshold).select("a", "b")))
+            links = settled(links.union(linked(verified(pairs, rows), threshold)))
             comps = components(links)
     classes = copies.select("text_key", "node").join(comps, "node", "left").select("text_key", F.coalesce("comp", "node").alias("class_id"))
     named = known.select("doc_id", "text_key").join(classes, "text_key").select("doc_id", "class_id")

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -120,6 +121,23 @@ def test_near_duplicates_equal_brute_force(docs):
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == {i: find(i) for i in ids}
 
 
+def test_near_duplicates_at_the_threshold_exactly(spark):
+    def bag(text):
+        w = text.split()
+        return Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+
+    rows, want = [], {}
+    for n, (words, other) in enumerate([(19, 16), (204, 164), (94, (20, 70)), (19, 15), (94, (10, 40, 70))]):
+        left = [f"w{n}x{k}" for k in range(words)]
+        right = left[:other] if isinstance(other, int) else ["new" if k in other else w for k, w in enumerate(left)]
+        a, b = bag(" ".join(left)), bag(" ".join(right))
+        exact = Fraction(len(a & b), len(a | b))
+        assert (exact == Fraction(4, 5)) == (n < 3) and exact <= Fraction(4, 5)
+        rows += [(2 * n, " ".join(left)), (2 * n + 1, " ".join(right))]
+        want |= {2 * n: 2 * n, 2 * n + 1: 2 * n + (exact < Fraction(4, 5))}
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_base_score_and_model_of_documents(docs):
     texts = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) + [None] for r in docs.select("doc_id", "text").collect()}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
