@@ -8,10 +8,9 @@ rates exponentially in the document's size: r = most / (1 + (most - 1) exp(-x)),
 x = lambda * size / scale. Newton's iterations run over the histogram
 (source, size, documents), which is all that the sums depend on, so that each
 step is one small aggregation with partial sums; a source is never gathered in
-a task. Rates are then rounded into copies for each cell (source, size): the
-larger sizes one by one, the smaller ones in order of falling size, carrying
-what was rounded off, so that a source ends within a fraction of a small
-document of its target. Within a cell the further copies go to documents by
+a task. Rates are then rounded into copies for each cell (source, size), in order
+of falling size over all sizes of a source, carrying what was rounded off, so
+that a source ends within a fraction of a small document of its target. Within a cell the further copies go to documents by
 hash order, dealt over salts by the cell's size so that a large cell never has
 to be sorted in one task.
 
@@ -29,8 +28,8 @@ from floeline.llm.shared import documents, release, settled
 
 #: Newton steps; each is damped so that it never leaves the bracket of the root.
 NEWTON_STEPS = 14
-#: Smallest sizes of each source whose rounding carries over; bounds the folded array.
-CARRIED_SIZES = 4096
+#: Sizes that one block of the rounding's fold holds. A source of n distinct sizes has over n * n / 2 words, so all its sizes fit in an array.
+BLOCK_SIZES = 512
 #: Documents of a cell that one salt should hold.
 SALT_ROWS = 50_000
 #: Bracket of the scaled dual variable: beyond it all rates are 0 or the most.
@@ -116,33 +115,31 @@ def dual(histogram: DataFrame, goals: DataFrame, most: float = 3.0, steps: int =
 def _spread(cells: DataFrame, most: int) -> DataFrame:
     """Adds ``copies`` of each cell (source, size, docs, wish): whole numbers from 0 to most * docs.
 
-    The smallest sizes of a source are folded in order of falling size with the
-    carry of all that was rounded before.
+    All sizes of a source are folded in order of falling size with the carry of all
+    that was rounded before.
     """
-    by_size = Window.partitionBy("source").orderBy("size")
-    cells = cells.withColumn("rank", F.row_number().over(by_size))
-    large = cells.filter(F.col("rank") > CARRIED_SIZES).withColumn("copies", F.least(F.round("wish"), F.lit(most) * F.col("docs")).cast("long"))
-    over = large.groupBy(F.col("source").alias("s")).agg(F.sum((F.col("wish") - F.col("copies")) * F.col("size")).alias("owed"))
-    small = cells.filter(F.col("rank") <= CARRIED_SIZES).groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("k"), "size", "docs", "wish"))).alias("cells"))
-    small = small.join(over, F.col("source").eqNullSafe(F.col("s")), "left")
+    by_source = cells.groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("k"), "size", "docs", "wish"))).alias("cells"))
 
-    def put(state: Column, cell: Column) -> Column:
-        wish = cell["wish"] + state["carry"] / cell["size"]
-        copies = F.greatest(F.lit(0.0), F.least(F.round(wish), (F.lit(most) * cell["docs"]).cast("double")))
-        return F.struct((state["carry"] + (cell["wish"] - copies) * cell["size"]).alias("carry"), copies.cast("long").alias("copies"))
+    def put(carry: Column, cell: Column) -> Column:
+        return F.greatest(F.lit(0.0), F.least(F.round(cell["wish"] + carry / cell["size"]), (F.lit(most) * cell["docs"]).cast("double")))
 
-    # A running fold: each element keeps its state, so the array of states comes from one pass.
-    start = F.struct(F.coalesce("owed", F.lit(0.0)).alias("carry"), F.array().cast("array<bigint>").alias("made"))
+    # A running fold that keeps the copies of each cell; full blocks are set aside, so that no long array is copied for each cell.
+    start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<bigint>").alias("block"), F.array().cast("array<array<bigint>>").alias("full"))
 
     def fold(acc: Column, cell: Column) -> Column:
-        now = put(acc, cell)
-        return F.struct(now["carry"].alias("carry"), F.concat(acc["made"], F.array(now["copies"])).alias("made"))
+        copies = put(acc["carry"], cell)
+        made = F.array(copies.cast("long"))
+        ends = F.size(acc["block"]) >= BLOCK_SIZES
+        return F.struct(
+            (acc["carry"] + (cell["wish"] - copies) * cell["size"]).alias("carry"),
+            F.when(ends, made).otherwise(F.concat(acc["block"], made)).alias("block"),
+            F.when(ends, F.concat(acc["full"], F.array(acc["block"]))).otherwise(acc["full"]).alias("full"),
+        )
 
-    folded = small.withColumn("made", F.aggregate("cells", start, fold)["made"])
-    small = folded.select("source", F.explode(F.arrays_zip("cells", "made")).alias("z")).select(
+    folded = by_source.withColumn("made", F.aggregate("cells", start, fold, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["block"])))))
+    return folded.select("source", F.explode(F.arrays_zip("cells", "made")).alias("z")).select(
         "source", F.col("z.cells.size").alias("size"), F.col("z.cells.docs").alias("docs"), F.col("z.made").alias("copies")
     )
-    return small.unionByName(large.select("source", "size", "docs", "copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from floeline.llm import bpe, exact_dedup, hpy, langid, media, mixing, near_dedup, quality, substrings, toxicity
 
@@ -97,6 +98,21 @@ def test_mix_meets_targets(docs):
     assert sorted(rows) == sorted(mixing.mix(docs).collect())
 
 
+@pytest.mark.parametrize("share", [0.3, 0.5, 0.8, 2.2])
+def test_mix_meets_targets_of_many_sizes(spark, share):
+    rng = np.random.default_rng(5)
+    sizes = {"flat": np.unique(rng.integers(1, 200_000, 20_000)), "long": np.unique(rng.lognormal(np.log(30_000), 1, 15_000).astype(np.int64) + 1)}
+    histogram = spark.createDataFrame([(s, int(z), 1) for s, v in sizes.items() for z in v], "source string, size long, docs long")
+    goals = spark.createDataFrame([(s, int(v.sum()), len(v), share * float(v.sum())) for s, v in sizes.items()], "source string, source_size long, docs long, target double")
+    tilt = mixing.dual(histogram, goals, 3.0)
+    rate = mixing._rate(F.col("lam") * F.col("size") / F.col("scale"), 3.0)
+    made = mixing._spread(histogram.join(tilt, "source").select("source", "size", "docs", (F.col("docs") * rate).alias("wish")), 3).collect()
+    for s, v in sizes.items():
+        copies = {r["size"]: r["copies"] for r in made if r["source"] == s}
+        assert sorted(copies) == v.tolist() and set(copies.values()) <= {0, 1, 2, 3}
+        assert abs(sum(z * c for z, c in copies.items()) - share * v.sum()) <= v.min() / 2 + 1e-6 * v.sum()
+
+
 def test_near_duplicates_equal_brute_force(docs):
     texts = {r.doc_id: (r.text or "").split() for r in docs.select("doc_id", "text").collect()}
     bags = {i: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else []) for i, w in texts.items()}
