@@ -195,7 +195,7 @@ def linked(sims: DataFrame, threshold: float) -> DataFrame:
 def _cross_pairs(entries: DataFrame, threshold: float, lo: int, hi: int | None) -> DataFrame:
     """(a, b): pairs of a bucket's members in different components that may be similar, by closeness.
 
-    Rows: bucket, band, node, comp, sketch, dist (to the bucket's smallest member), n. A bucket is dealt to
+    Rows: bucket, band, node, comp, bands, sketch, dist (to the bucket's smallest member), n. A bucket is dealt to
     pairs of blocks, so that no task sees more than two blocks' members at once. A pair's rank is its place
     among the pairs of either member there, the most agreeing registers first; ranks lo to hi (None: all) are
     given. Ranks do not depend on components, so windows that follow one another give each pair at most once.
@@ -204,7 +204,7 @@ def _cross_pairs(entries: DataFrame, threshold: float, lo: int, hi: int | None)
     blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
     dealt = entries.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "dist", "sketch", "band")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "dist", F.slice("bands", 1, F.col("band") + 1).alias("bands"), "sketch", "band")
 
     def places(score: np.ndarray) -> np.ndarray:
         """The place of each column in its row, the largest score first."""
@@ -223,11 +223,13 @@ def _cross_pairs(entries: DataFrame, threshold: float, lo: int, hi: int | None)
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
         band = table.column("band")[0].as_py()
+        # The keys up to this band.
+        keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
         score = np.full((len(left), len(right)), -1, dtype=np.int16)
         for at, x in enumerate(left):
             same = sketch[right] == sketch[x]
-            # A pair that shares several bands is compared in the bucket of the first.
-            lead = same.reshape(len(right), BANDS, BAND_ROWS).all(axis=2).argmax(axis=1) == band
+            # A pair that shares several bands is compared in the bucket of the first; whole keys, as sketches may agree by chance.
+            lead = (keys[right] == keys[x]).argmax(axis=1) == band
             total = same.sum(axis=1)
             go = lead & (total >= agree * REGISTERS) & (np.abs(dist[right] - dist[x]) <= 1 - threshold + ROUNDING) & (node[right] != node[x])
             score[at, go] = total[go]
@@ -263,8 +265,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
     for lo, hi in zip(RANKS, [*RANKS[1:], None], strict=True):
         member = entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
-        rest = member.join(mixed, "bucket").join(sims, ["rep", "node"], "left").join(copies.select("node", "sketch"), "node")
-        rest = rest.select("bucket", "band", "node", "comp", "sketch", F.when(F.col("node") == F.col("rep"), 0.0).otherwise(1 - F.coalesce("sim", F.lit(0.0))).alias("dist"), "n")
+        rest = member.join(mixed, "bucket").join(sims, ["rep", "node"], "left").join(copies.select("node", "bands", "sketch"), "node")
+        rest = rest.select("bucket", "band", "node", "comp", "bands", "sketch", F.when(F.col("node") == F.col("rep"), 0.0).otherwise(1 - F.coalesce("sim", F.lit(0.0))).alias("dist"), "n")
         pairs = settled(_cross_pairs(rest, threshold, lo, hi).join(stars, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             links = settled(links.union(linked(verified(pairs, rows), threshold)))

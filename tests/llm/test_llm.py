@@ -154,6 +154,14 @@ def test_near_duplicates_at_the_threshold_exactly(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_pairs_whose_sketches_agree_in_an_earlier_band_than_their_keys(spark):
+    sketch = bytes(2 * near_dedup.REGISTERS)
+    keys = {1: list(range(32)), 2: [100 + k if k < 5 else k for k in range(32)]}
+    rows = [(b, b, n, n, keys[n], bytearray(sketch), 0.1, 2) for b in range(5, 32) for n in keys]
+    entries = spark.createDataFrame(rows, "bucket long, band int, node long, comp long, bands array<long>, sketch binary, dist double, n long")
+    assert [tuple(r) for r in near_dedup._cross_pairs(entries, 0.8, 0, None).collect()] == [(1, 2)]
+
+
 def test_base_score_and_model_of_documents(docs):
     texts = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) + [None] for r in docs.select("doc_id", "text").collect()}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
