@@ -199,6 +199,27 @@ def test_repeats_equal_brute_force(docs, frequent, monkeypatch):
     assert {r.doc_id: tuple(r)[1:] for r in substrings.remove_repeats(docs).collect()} == want
 
 
+def test_repeats_in_several_texts_without_id(spark):
+    rng = np.random.default_rng(3)
+    passage, other, short, long, named = ("".join(rng.choice(list("abcdefghij"), n)) for n in (150, 120, 110, 900, 300))
+    texts = [(None, short), (None, long + passage + "." + passage), (None, other + "!" + long[:60]), (None, short), (7, named + other), (8, "tiny"), (None, "tiny")]
+    order = sorted((-1 if i is None else i, hashlib.sha256(t.encode()).hexdigest(), t) for i, t in texts)
+    seen, want = set(), {}
+    for i, _, t in order:
+        if (i, t) in want:
+            continue
+        gone = np.zeros(len(t), dtype=bool)
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                gone[k : k + 100] = True
+            seen.add(t[k : k + 100])
+        spans = int(np.sum(gone & ~np.concatenate([[False], gone[:-1]])))
+        want[i, t] = (len(t), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(t.encode(), np.uint8)[~gone].tobytes()).hexdigest())
+    assert sum(w[1] for w in want.values()) >= 250
+    made = substrings.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert Counter((-1 if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in made) == Counter((-1 if i is None else i, *want[-1 if i is None else i, t]) for i, t in texts)
+
+
 def test_classifiers_on_held_out_rows(spark):
     docs, marks = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     truth = {r.doc_id: r for r in marks.collect()}
