@@ -175,6 +175,21 @@ def test_base_score_and_model_of_documents(docs):
     assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
 
 
+def test_frequent_cells_are_seated_several_times(spark, docs, monkeypatch):
+    rows = docs.selectExpr("doc_id AS id", "crc32(cast(cast(doc_id AS string) AS binary)) % 10 = 0 AS held_out", "text")
+    made = {}
+    for n in (1, 3):
+        monkeypatch.setattr(hpy, "SEATINGS", n)
+        made[n] = hpy.seat_all(rows, hpy.count_words(rows, 8), 8)
+    one, several = made[1].hot_tables, made[3].hot_tables
+    assert len(several) > 20 and (several % 1 > 0).any() and not (one % 1 > 0).any()
+    assert np.allclose(several * 3, np.round(several * 3)) and (several >= 1).all() and (several <= made[3].hot_customers).all()
+    who, room = made[3].hot_keys >> 20, made[3].hot_keys & ((1 << 20) - 1)
+    k, weight = made[3], (hpy.THETA + hpy.DISCOUNT * made[3].room_tables[room]) * made[3].parent(made[3].guests[who], made[3].tables[who])
+    many = sum(hpy.seat(k.hot_customers.astype(np.int64), weight, hpy.DISCOUNT, np.random.default_rng(s)) for s in range(100)) / 100
+    assert math.isclose(several.sum(), many.sum(), rel_tol=0.1)
+
+
 def test_media_reads_back(docs):
     texts = {r.doc_id: (r.text or "").encode() for r in docs.select("doc_id", "text").collect()}
     for r in media.media(docs).collect():
