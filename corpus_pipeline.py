@@ -39,7 +39,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("source_mixing", mix), ("bpe", encode)]
 
-#: Stages 1, 3 and 4 (a fitted model, sketches, Newton iterations) have no SQL; tests/llm holds the brute-force version.
+#: Stages 1, 3 and 4 (a fitted model, sketches, Newton iterations) have no SQL; tests/llm holds the plain Python version of
+#: all stages but the language model's verdicts, which it takes from op5.
 ORACLE_SQL = None
 
 

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from floeline.llm import bpe, exact_dedup, hpy, langid, media, mixing, near_dedup, quality, substrings, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, fp string"
@@ -245,3 +246,87 @@ def test_classifiers_on_held_out_rows(spark):
     assert np.mean([r.predicted == truth[r.doc_id].quality for r in held]) > 0.95
     held = [r for r in toxicity.toxicity(docs, marks).collect() if r.held_out and r.doc_id in truth]
     assert np.mean([r.predicted == truth[r.doc_id].toxic for r in held]) > 0.9
+
+
+def _plain_classes(texts):
+    """{id: smallest id of its class} by all pairs, with exact fractions."""
+    bags = {i: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, w in ((i, t.split()) for i, t in texts.items())}
+    of = {i: i for i in texts}
+    for x in sorted(bags):
+        for y in (y for y in sorted(bags) if y > x):
+            a, b = bags[x], bags[y]
+            shared = a.keys() & b.keys()
+            if 2 * len(shared) < max(len(a), len(b)):
+                continue
+            every = a.keys() | b.keys()
+            if sum(1 / sum(max(Fraction(a[e], a[d]), Fraction(b[e], b[d])) for e in every) for d in shared) >= Fraction(4, 5):
+                low, high = sorted((of[x], of[y]))
+                of = {i: low if c == high else c for i, c in of.items()}
+    return of
+
+
+def _bisect(f, target, low, high):
+    """Where the rising f reaches the target."""
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if f(middle) < target else (low, middle)
+    return (low + high) / 2
+
+
+def _plain_mix(sizes, weights=(1, 2, 3), most=3):
+    """{(source, size): copies of all its documents}, from {source: Counter of sizes}."""
+    total = {s: sum(z * n for z, n in c.items()) for s, c in sizes.items()}
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(sorted(sizes))}
+    target_at = lambda level: {s: min(most * total[s], level * weight[s]) for s in sizes}
+    target = target_at(_bisect(lambda v: sum(target_at(v).values()), sum(total.values()), 0, most * sum(total.values())))
+    out = {}
+    for s, c in sizes.items():
+        scale = max(1, total[s] / sum(c.values()))
+        rate = lambda lam, z, scale=scale: most / (1 + (most - 1) * math.exp(-lam * z / scale))
+        lam = _bisect(lambda v, c=c, rate=rate: sum(n * z * rate(v, z) for z, n in c.items()), target[s], -60, 60)
+        carry = 0.0
+        for z in sorted(c, reverse=True):
+            wish = c[z] * rate(lam, z)
+            out[s, z] = max(0, min(math.floor(wish + carry / z + 0.5), most * c[z]))
+            carry += (wish - out[s, z]) * z
+    return out
+
+
+def test_pipeline_equals_plain_python(spark, docs, tmp_path):
+    """All stages of run() against plain Python; the fitted language model's verdicts are taken from op5's own rows."""
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    first = sorted(docs.filter("size(split(text, ' ')) > 60").collect())[:12]
+    more = [(1000, "12 34 -- 56", "en", "src1", 11), (1001, None, None, "src2", None), (1002, "", "en", "src2", 0)]
+    more += [(1010 + k, r.text, r.lang, r.source, r.n_chars) for k, r in enumerate(first[:6])]
+    more += [(1020 + k, r.text + " plus", r.lang, r.source, r.n_chars + 5) for k, r in enumerate(first[6:])]
+    docs.unionByName(spark.createDataFrame(more, docs.schema)).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    rejected = {r.doc_id: r.rejected for r in langid.identify(docs).collect()}
+    rows = {r.doc_id: r for r in docs.collect() if not rejected[r.doc_id]}
+    last = {}
+    for i, r in sorted(rows.items()):
+        last[r.text] = i
+    unique = {i: rows[i] for i in last.values()}
+    classes = _plain_classes({i: r.text for i, r in unique.items()})
+    left = {i: r for i, r in unique.items() if classes[i] == i}
+    assert docs.count() > len(rows) > len(unique) > len(left) > 50
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for i, r in left.items()}
+    sizes = {}
+    for i, r in left.items():
+        sizes.setdefault(r.source, Counter())[size[i]] += 1
+    want = _plain_mix(sizes)
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY))
+    found, times = Counter(), Counter()
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        ids = library.encode(left[r.doc_id].text, add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False).encode()
+        assert tuple(r)[1:] == (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest())
+        times[r.doc_id] += 1
+        found[left[r.doc_id].source, size[r.doc_id]] += 1
+    assert found == Counter(want)
+    # Within a source and size, documents differ by one copy at most.
+    for i, r in left.items():
+        share = want[r.source, size[i]] / sizes[r.source][size[i]]
+        assert math.floor(share) <= times[i] <= math.ceil(share)
