@@ -2,26 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floeline.llm.shared import settled
+from floeline.llm.shared import settled, small
 
 
-def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def _edges(a: Column, b: Column, table: DataFrame, rows: int | None) -> DataFrame:
+    """Distinct (a, b), the smaller node first, without loops."""
+    return settled(table.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a != b").distinct(), rows)
+
+
+def _jump(label: DataFrame, by: DataFrame) -> DataFrame:
+    """Each label is replaced by its own label."""
+    roots = small(by.select(F.col("node").alias("root"), F.col("comp").alias("next")))
+    return label.join(roots, F.col("comp") == F.col("root"), "left").select("node", F.coalesce("next", "comp").alias("comp"))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``edges`` (a, b); comp is the smallest node that it reaches.
 
-    Each round takes the smallest label among the neighbours and then the label of
-    that label (pointer jumping), so that chains shorten by half each round.
+    By contraction: every node goes to the smallest of its neighbours and itself, then to where that
+    one goes (pointer jumping, three steps); edges are rewritten to what their ends went to, and loops and
+    doubles leave. Only nodes without a smaller neighbour remain, and rounds go on until no edge is left.
+    Minima come by partial sums, so a node of many edges never meets them in one task.
     """
-    both = settled(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = settled(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("comp")))
-    for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = label.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        roots = label.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        step = settled(step.join(roots, "comp", "left").select("node", "old", F.least("comp", F.coalesce("root", "comp")).alias("comp")))
-        label = step.select("node", "comp")
-        if step.filter("old != comp").isEmpty():
-            return label
-    raise RuntimeError("components did not settle")
+    edges = _edges(F.col("a"), F.col("b"), edges, None)
+    left = edges.count()
+    label = None
+    while left:
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("near")))
+        goes = settled(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("comp")), 2 * left)
+        goes = settled(_jump(_jump(goes, goes), goes), 2 * left)
+        # All nodes of a contracted graph are labels so far.
+        label = goes if label is None else settled(_jump(label, goes))
+        to = small(goes)
+        ends = edges.join(to.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b")
+        edges = _edges(F.col("x"), F.col("y"), ends, left)
+        left = edges.count()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")) if label is None else label
+
+
+def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, comp) after further edges (a, b); only these are worked on."""
+    for end in ("a", "b"):
+        known = small(label.select(F.col("node").alias(end), F.col("comp").alias("to")))
+        links = links.join(known, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    goes = components(links)
+    # Nodes without a label so far are their own components.
+    new = goes.join(small(label.select("node")), "node", "left_anti")
+    return settled(_jump(label, goes).union(new))

@@ -16,14 +16,17 @@ so buckets whose members are still in different components go through a second
 round: pairs of different components are compared in blocks, without those that
 the triangle inequality rules out (one minus the similarity is a metric) or whose
 registers agree far too seldom, and the rest is verified. It goes by closeness:
-each member's closest partner first, then the next few, then all that are still in
-different components, so a group that hangs together through a few members does
-not verify all its pairs. Each class is a connected component of verified links.
+each member's closest partner first, then windows of ranks that grow eightfold until
+no bucket holds two components or all its pairs had their turn, so a group that hangs together
+through a few members does not verify all its pairs. Each class is a connected component
+of verified links.
 
 Defined cases: null text counts as empty; texts without words are similar only
 to equal texts; a text of fewer than five words is one shingle; a row without id
-is in no class (class_id null); rows that share an id are one document; an empty
-table gives an empty result; other columns are not read.
+is in no class (class_id null) and stays; rows that share an id and a text are one document (all stay or
+all go), rows that share an id with different texts are documents of their own; in a class of tied ids the
+text of the smallest digest stays; an empty table gives an empty result; other columns, of any name, are not
+read. Texts may be of any length; one text is held in memory at a time.
 """
 
 from __future__ import annotations
@@ -34,9 +37,10 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floeline.llm.flat import flat, mix, prefix_hash, span_hash, text_slices, words
-from floeline.llm.graph import components
-from floeline.llm.shared import documents, settled, whole, written
+from floeline.llm.flat import mix, prefix_hash, span_hash, text_slices, words
+from floeline.llm.graph import components, joined
+from floeline.llm.rows import digest, identified, of_texts
+from floeline.llm.shared import BROADCAST_ROWS, Scratch, documents, fresh, release, settled, small, whole
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -45,14 +49,14 @@ ROUNDING = 1e-9
 #: Bands and registers of each: a pair at 0.8 is missed with probability (1 - 0.8**6)**32 = 6e-5.
 BANDS, BAND_ROWS = 32, 6
 REGISTERS = BANDS * BAND_ROWS
-#: Nodes up to which a set of ids is broadcast (8 bytes each); beyond, a shuffle join.
-BROADCAST_IDS = 2_000_000
 #: How far below the threshold the registers' agreement may be for a pair to be verified: over five standard deviations.
 ESTIMATE_SLACK = 0.15
 #: Members of a bucket that one block of the second round holds.
 BLOCK = 1024
-#: Where the windows of ranks begin in which the second round compares pairs; links found in one window spare the pairs of the next.
-RANKS = (0, 1, 8)
+#: Pairs of one document that a block of verification holds.
+STAR = 512
+#: The second round's windows of ranks are 0, 1 to 8, 8 to 64 and so on; links found in one spare the pairs of the next.
+RANKS = 8
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,11 +144,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _sign(rows: DataFrame) -> DataFrame:
-    """(doc_id, text_key, bands, sketch); bands null for texts without words, the sketch holds 16 bits of each register."""
+    """(id, bands, sketch); bands null for texts without words, the sketch holds 16 bits of each register."""
 
     def sign(batches):
         for batch in batches:
-            for i, j, buf, off in text_slices(batch.column(2)):
+            for i, j, buf, off in text_slices(batch.column(1)):
                 value, owner, weight = shingles(buf, off)
                 n = j - i
                 kept = registers(value, owner, weight, n)
@@ -153,38 +157,42 @@ def _sign(rows: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys, pa.int64()))
                 none = np.bincount(owner, minlength=n) == 0
                 lists = pa.compute.if_else(pa.array(none), pa.scalar(None, lists.type), lists)
-                yield pa.record_batch([batch.column(0).slice(i, n), batch.column(1).slice(i, n), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "text_key", "bands", "sketch"])
+                yield pa.record_batch([batch.column(0).slice(i, n), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["id", "bands", "sketch"])
 
-    return rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), "text").mapInArrow(sign, "doc_id long, text_key string, bands array<long>, sketch binary")
-
-
-def _of_ids(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return rows.select("id", "text").mapInArrow(sign, "id long, bands array<long>, sketch binary")
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b, sim) of the distinct pairs (a, b), by the exact similarity of whole texts."""
-    ids = settled(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    texts = written(rows.join(_of_ids(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
+    """(a, b, sim) of the distinct pairs (a, b), by the exact similarity of whole texts.
+
+    The pairs of one ``a`` are dealt over blocks of ``STAR`` at most. A block gets the text of ``a`` once and
+    that of each ``b``, ordered, and a task sees one after another, with the bag of ``a`` at hand.
+    """
+    pairs = settled(pairs)
+    blocks = settled(pairs.groupBy("a").count().filter(F.col("count") > STAR).select("a", F.ceil(F.col("count") / F.lit(float(STAR))).cast("int").alias("blocks")))
+    dealt = pairs.join(small(blocks), "a", "left").select("a", "b", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("blocks"))).cast("int").alias("block"))
+    need = settled(dealt.select("a", "block", F.lit(1).alias("side"), F.col("b").alias("id")).union(dealt.select("a", "block", F.lit(0), "a").distinct()))
+    sent = rows.join(small(need), "id").select("a", "block", "side", "id", "text")
 
     def compare(batches):
+        at, bag = None, None
         for batch in batches:
-            n = batch.num_rows
-            out = np.zeros(n)
-            (left, lo), (right, ro) = flat(batch.column(2)), flat(batch.column(3))
-            step = 64
-            for i in range(0, n, step):
-                j = min(n, i + step)
-                bags = []
-                for buf, off in ((left, lo), (right, ro)):
-                    value, owner, weight = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                    edges = np.searchsorted(owner, np.arange(j - i + 1))
-                    bags.append([(value[x:y], weight[x:y]) for x, y in zip(edges[:-1], edges[1:], strict=True)])
-                out[i:j] = [similarity(a, b) for a, b in zip(*bags, strict=True)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "sim"])
-
-    sides = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return sides.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long, sim double")
+            a, block, side, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            out = np.full(batch.num_rows, -1.0)
+            for i, j, buf, off in text_slices(batch.column(4), 1 << 20):
+                value, owner, weight = shingles(buf, off)
+                edges = np.searchsorted(owner, np.arange(j - i + 1))
+                for k in range(j - i):
+                    own = value[edges[k] : edges[k + 1]], weight[edges[k] : edges[k + 1]]
+                    if not side[i + k]:
+                        at, bag = (a[i + k], block[i + k]), (own[0].copy(), own[1].copy())
+                    elif at == (a[i + k], block[i + k]):
+                        out[i + k] = similarity(bag, own)
+            yield pa.record_batch([pa.array(a[side == 1]), pa.array(ids[side == 1]), pa.array(out[side == 1])], names=["a", "b", "sim"])
+
+    ordered = sent.repartition("a", "block").sortWithinPartitions("a", "block", "side")
+    # Repeated rows give a pair more than once.
+    return ordered.mapInArrow(compare, "a long, b long, sim double").dropDuplicates(["a", "b"])
 
 
 def linked(sims: DataFrame, threshold: float) -> DataFrame:
@@ -246,41 +254,76 @@ def _cross_pairs(entries: DataFrame, threshold: float, lo: int, hi: int | None)
     return dealt.groupBy("bucket", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest id of its class)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    signed = written(_sign(rows), "near-signed")
-    known = signed.filter("doc_id IS NOT NULL")
-    # Equal texts have equal bands, so any copy's will do.
-    copies = settled(known.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
-    banded = copies.filter("bands IS NOT NULL").select("node", F.posexplode("bands").alias("band", "bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1")
+def _classes(rows: DataFrame, threshold: float) -> DataFrame:
+    """(id, class): every row (id, text) whose class is not its own id alone; ids are of distinct texts or repeated rows."""
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "near")
+    keys = rows.select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
+    # Equal texts are one node, the smallest id; few enough keys are taken out where the texts are read.
+    equal = settled(keys.groupBy("key").agg(F.min("id").alias("node"), F.max("id").alias("most")).filter("node != most").select("key", "node"))
+    copies = settled(keys.join(small(equal), "key").filter("id != node").select("id", "node"))
+    once = rows.join(F.broadcast(copies.select("id")), "id", "left_anti") if copies.count() <= BROADCAST_ROWS else rows
+    signed = scratch.written(_sign(once))
+    # Beyond that, signatures are sorted out instead of texts.
+    signed = signed if once is not rows else scratch.written(signed.join(copies.select("id"), "id", "left_anti"))
+    banded = signed.filter("bands IS NOT NULL").select(F.col("id").alias("node"), F.posexplode("bands").alias("band", "bucket"))
+    buckets = banded.groupBy("bucket").agg(F.min("node").alias("rep"), F.max("node").alias("most"), F.count("*").alias("n")).filter("rep != most").drop("most")
     entries = settled(banded.join(buckets, "bucket"))
     stars = settled(entries.filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())
     first = settled(verified(stars, rows))
-    links = linked(first, threshold)
-    comps = components(links)
-    # Second round: buckets that still hold several components, their closest pairs first.
+    comps = components(linked(first, threshold))
+    # Second round: the buckets that still hold several components, their closest pairs first.
     sims = first.select(F.col("a").alias("rep"), F.col("b").alias("node"), "sim")
-    for lo, hi in zip(RANKS, [*RANKS[1:], None], strict=True):
-        member = entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    member = entries.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = settled(member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket"))
+    rest = entries.join(small(mixed), "bucket").join(small(sims), ["rep", "node"], "left")
+    rest = settled(rest.select("bucket", "band", "node", "n", F.when(F.col("node") == F.col("rep"), 0.0).otherwise(1 - F.coalesce("sim", F.lit(0.0))).alias("dist")))
+    most = rest.agg(F.max("n")).first()[0] or 0
+    sketches = settled(signed.join(small(rest.select(F.col("node").alias("id")).distinct()), "id", "left_semi")) if most else signed
+    lo, hi = 0, 1
+    while lo < most:
+        release(spark)
+        member = rest.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
-        rest = member.join(mixed, "bucket").join(sims, ["rep", "node"], "left").join(copies.select("node", "bands", "sketch"), "node")
-        rest = rest.select("bucket", "band", "node", "comp", "bands", "sketch", F.when(F.col("node") == F.col("rep"), 0.0).otherwise(1 - F.coalesce("sim", F.lit(0.0))).alias("dist"), "n")
-        pairs = settled(_cross_pairs(rest, threshold, lo, hi).join(stars, ["a", "b"], "left_anti"))
+        now = settled(member.join(small(settled(mixed)), "bucket"))
+        if now.isEmpty():
+            break
+        near = now.join(sketches.withColumnRenamed("id", "node"), "node")
+        pairs = settled(_cross_pairs(near, threshold, lo, hi).join(small(stars), ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            links = settled(links.union(linked(verified(pairs, rows), threshold)))
-            comps = components(links)
-    classes = copies.select("text_key", "node").join(comps, "node", "left").select("text_key", F.coalesce("comp", "node").alias("class_id"))
-    named = known.select("doc_id", "text_key").join(classes, "text_key").select("doc_id", "class_id")
-    return named.unionByName(signed.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id")))
+            comps = joined(comps, linked(verified(pairs, rows), threshold))
+        lo, hi = hi, hi * RANKS
+    scratch.close()
+    named = copies.join(small(comps), "node", "left").select("id", F.coalesce("comp", "node").alias("class"))
+    return named.union(comps.select(F.col("node").alias("id"), F.col("comp").alias("class")))
+
+
+def _verdicts(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(rows with an id, their classes, names of ids); see ``identified``."""
+    rows, names = identified(of_texts(docs, id_col, text_col).filter("id IS NOT NULL"))
+    return rows, settled(_classes(rows, threshold)), names
+
+
+def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id (the smallest id of its class)."""
+    rows, classes, names = _verdicts(docs, threshold, id_col, text_col)
+    found = rows.select("id").join(small(classes), "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("class", "id").alias("class_id"))
+    if names is not None:
+        back = lambda c: small(names.select(F.col("number").alias(c), F.col("id").alias(f"{c}_own")))
+        found = found.join(back("doc_id"), "doc_id").join(back("class_id"), "class_id").select(F.col("doc_id_own").alias("doc_id"), F.col("class_id_own").alias("class_id"))
+    nameless = docs.filter(F.col(id_col).cast("long").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
+    return found.union(nameless)
 
 
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of which one document of each class stays: the smallest id."""
-    gone = near_duplicates(docs, SIMILARITY, id_col, text_col).filter("doc_id != class_id").select(F.col("doc_id").alias("__id")).distinct()
-    gone = settled(gone)
-    return docs.join(_of_ids(gone), docs[id_col] == F.col("__id"), "left_anti")
+    _, classes, names = _verdicts(docs, SIMILARITY, id_col, text_col)
+    gone, (own, sha) = classes.filter("id != class").select("id"), fresh("id", "sha")
+    same = docs[id_col].cast("long") == F.col(own)
+    if names is None:
+        return docs.join(small(settled(gone.withColumnRenamed("id", own))), same, "left_anti")
+    gone = names.join(gone, names["number"] == gone["id"], "left_semi").select(F.col("id").alias(own), F.col("sha").alias(sha))
+    return docs.join(small(settled(gone)), same & (digest(whole(docs[text_col])) == F.col(sha)), "left_anti")
 
 
 def op6_near_dedup(spark, sf_dir) -> DataFrame:

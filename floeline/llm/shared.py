@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -10,28 +11,49 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows (of a few numbers) up to which a counted table is broadcast; beyond, a shuffle join.
+BROADCAST_ROWS = 2_000_000
+#: Rows of a few numbers that a task of a small intermediate table should hold at least.
+TASK_ROWS = 200_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the session has none (tests in local mode), a temporary folder is made and set.
+    Where a session in local mode has none (tests), a temporary folder is made and set; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if not folder and known.isDefined():
+        return known.get()
     if not folder:
-        current = context._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="floeline-")
-        if not current.isDefined():
-            context.setCheckpointDir(folder)
-    elif not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="floeline-")
+    if not known.isDefined():
         context.setCheckpointDir(folder)
     return folder
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder; later reads survive lost executors."""
+def settled(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The rows, computed once and kept in the shared folder; later reads survive lost executors.
+
+    ``rows``: a bound of their number, where one is known; a small table then gets few tasks and files.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(1 + rows // TASK_ROWS)).checkpoint(eager=True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """For the side of a join: broadcast if it has at most ``rows`` rows. It is counted, so it should be settled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def fresh(*names: str) -> list[str]:
+    """Column names that no table has, so that columns of any name can stand beside them."""
+    mark = uuid.uuid4().hex
+    return [f"{name}_{mark}" for name in names]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -44,18 +66,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared folder."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+class Scratch:
+    """Tables that are written for the course of one operator; ``close`` deletes them all."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.tables = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
+
+    def written(self, df: DataFrame) -> DataFrame:
+        """The rows as a Parquet table, better than ``settled`` for wide rows."""
+        self.tables += 1
+        path = f"{self.folder}/{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the broadcasts, shuffle files and checkpoints that nothing refers to, and the driver shrink its heap."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
-
-
 #: Settings of the C library's and Arrow's allocators in Python workers: large arrays go back to the system when freed.
 WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(2 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
