@@ -49,8 +49,10 @@ ROUNDING = 1e-9
 #: Bands and registers of each: a pair at 0.8 is missed with probability (1 - 0.8**6)**32 = 6e-5.
 BANDS, BAND_ROWS = 32, 6
 REGISTERS = BANDS * BAND_ROWS
-#: How far below the threshold the registers' agreement may be for a pair to be verified: over five standard deviations.
-ESTIMATE_SLACK = 0.15
+#: Further registers (of 8 bits) of the documents that go into the second round.
+FINE = 1024
+#: How far below the threshold the agreement may be for a pair to be verified, of the first registers and of all: over five standard deviations.
+ESTIMATE_SLACK, FINE_SLACK = 0.15, 0.06
 #: Members of a bucket that one block of the second round holds.
 BLOCK = 1024
 #: Pairs of one document that a block of verification holds.
@@ -83,7 +85,7 @@ def shingles(buf: np.ndarray, off: np.ndarray, size: int = SHINGLE_WORDS) -> tup
         return value[fresh], owner[fresh], np.diff(np.append(fresh, len(value))).astype(np.float64)
 
 
-def registers(value: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int, m: int = REGISTERS) -> np.ndarray:
+def registers(value: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int, m: int = REGISTERS, seed: int = 0) -> np.ndarray:
     """n x m: the shingle whose arrival is the earliest at each register (0 for documents without shingles)."""
     best = np.full(n * m, np.inf)
     kept = np.zeros(n * m, dtype=np.uint64)
@@ -93,7 +95,7 @@ def registers(value: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int,
         while len(value):
             # Few shingles left: take several arrivals of each at once.
             many = int(min(64, max(1, 20_000 // len(value))))
-            bits = mix(np.repeat(value, many) + (np.tile(np.arange(turn, turn + many, dtype=np.uint64), len(value)) * np.uint64(0x9E3779B97F4A7C15)), 77)
+            bits = mix(np.repeat(value, many) + (np.tile(np.arange(turn, turn + many, dtype=np.uint64), len(value)) * np.uint64(0x9E3779B97F4A7C15)), 77 + seed)
             turn += many
             unit = ((bits >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
             gaps = (-np.log(unit) / np.repeat(weight, many)).reshape(-1, many)
@@ -162,6 +164,18 @@ def _sign(rows: DataFrame) -> DataFrame:
     return rows.select("id", "text").mapInArrow(sign, "id long, bands array<long>, sketch binary")
 
 
+def _sign_finely(rows: DataFrame) -> DataFrame:
+    """(node, fine): 8 bits of each of FINE further registers, of rows (id, text)."""
+
+    def sign(batches):
+        for batch in batches:
+            for i, j, buf, off in text_slices(batch.column(1), 1 << 18):
+                kept = registers(*shingles(buf, off), j - i, FINE, 100)
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in (kept >> np.uint64(56)).astype(np.uint8)], pa.binary())], names=["node", "fine"])
+
+    return rows.select("id", "text").mapInArrow(sign, "node long, fine binary")
+
+
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b, sim) of the distinct pairs (a, b), by the exact similarity of whole texts.
 
@@ -203,7 +217,7 @@ def linked(sims: DataFrame, threshold: float) -> DataFrame:
 def _cross_pairs(entries: DataFrame, threshold: float, lo: int, hi: int | None) -> DataFrame:
     """(a, b): pairs of a bucket's members in different components that may be similar, by closeness.
 
-    Rows: bucket, band, node, comp, bands, sketch, dist (to the bucket's smallest member), n. A bucket is dealt to
+    Rows: bucket, band, node, comp, bands, sketch, fine, dist (to the bucket's smallest member), n. A bucket is dealt to
     pairs of blocks, so that no task sees more than two blocks' members at once. A pair's rank is its place
     among the pairs of either member there, the most agreeing registers first; ranks lo to hi (None: all) are
     given. Ranks do not depend on components, so windows that follow one another give each pair at most once.
@@ -212,7 +226,7 @@ def _cross_pairs(entries: DataFrame, threshold: float, lo: int, hi: int | None)
     blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
     dealt = entries.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "dist", F.slice("bands", 1, F.col("band") + 1).alias("bands"), "sketch", "band")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "dist", F.slice("bands", 1, F.col("band") + 1).alias("bands"), "sketch", "fine", "band")
 
     def places(score: np.ndarray) -> np.ndarray:
         """The place of each column in its row, the largest score first."""
@@ -230,6 +244,7 @@ def _cross_pairs(entries: DataFrame, threshold: float, lo: int, hi: int | None)
         if comp.min() == comp.max() or not len(left) or not len(right):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+        fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), dtype=np.uint8).reshape(-1, FINE)
         band = table.column("band")[0].as_py()
         # The keys up to this band.
         keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
@@ -239,8 +254,10 @@ def _cross_pairs(entries: DataFrame, threshold: float, lo: int, hi: int | None)
             # A pair that shares several bands is compared in the bucket of the first; whole keys, as sketches may agree by chance.
             lead = (keys[right] == keys[x]).argmax(axis=1) == band
             total = same.sum(axis=1)
-            go = lead & (total >= agree * REGISTERS) & (np.abs(dist[right] - dist[x]) <= 1 - threshold + ROUNDING) & (node[right] != node[x])
-            score[at, go] = total[go]
+            go = np.flatnonzero(lead & (total >= agree * REGISTERS) & (np.abs(dist[right] - dist[x]) <= 1 - threshold + ROUNDING) & (node[right] != node[x]))
+            total = total[go] + np.count_nonzero(fine[right[go]] == fine[x], axis=1)
+            near = total >= (threshold - FINE_SLACK) * (REGISTERS + FINE)
+            score[at, go[near]] = total[near]
         rank = np.minimum(places(score), places(score.T).T)
         take = (score >= 0) & (comp[left][:, None] != comp[right]) & (rank >= lo)
         if hi is not None:
@@ -279,19 +296,21 @@ def _classes(rows: DataFrame, threshold: float) -> DataFrame:
     rest = entries.join(small(mixed), "bucket").join(small(sims), ["rep", "node"], "left")
     rest = settled(rest.select("bucket", "band", "node", "n", F.when(F.col("node") == F.col("rep"), 0.0).otherwise(1 - F.coalesce("sim", F.lit(0.0))).alias("dist")))
     most = rest.agg(F.max("n")).first()[0] or 0
-    sketches = settled(signed.join(small(rest.select(F.col("node").alias("id")).distinct()), "id", "left_semi")) if most else signed
+    nodes = settled(rest.select(F.col("node").alias("id")).distinct())
+    sketches = settled(signed.join(small(nodes), "id", "left_semi").withColumnRenamed("id", "node"))
+    fine = settled(_sign_finely(rows.join(small(nodes), "id", "left_semi")).dropDuplicates(["node"]))
     lo, hi = 0, 1
-    while lo < most:
+    while lo + 1 < most:
         release(spark)
-        member = rest.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        # A member of a bucket of n has n - 1 ranks.
+        member = rest.filter(F.col("n") > lo + 1).join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
         now = settled(member.join(small(settled(mixed)), "bucket"))
         if now.isEmpty():
             break
-        near = now.join(sketches.withColumnRenamed("id", "node"), "node")
-        pairs = settled(_cross_pairs(near, threshold, lo, hi).join(small(stars), ["a", "b"], "left_anti"))
+        pairs = settled(_cross_pairs(now.join(sketches, "node").join(fine, "node"), threshold, lo, hi).join(small(stars), ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            comps = joined(comps, linked(verified(pairs, rows), threshold))
+            comps = joined(comps, settled(linked(verified(pairs, rows), threshold)))
         lo, hi = hi, hi * RANKS
     scratch.close()
     named = copies.join(small(comps), "node", "left").select("id", F.coalesce("comp", "node").alias("class"))

@@ -158,8 +158,8 @@ def test_near_duplicates_at_the_threshold_exactly(spark):
 def test_pairs_whose_sketches_agree_in_an_earlier_band_than_their_keys(spark):
     sketch = bytes(2 * near_dedup.REGISTERS)
     keys = {1: list(range(32)), 2: [100 + k if k < 5 else k for k in range(32)]}
-    rows = [(b, b, n, n, keys[n], bytearray(sketch), 0.1, 2) for b in range(5, 32) for n in keys]
-    entries = spark.createDataFrame(rows, "bucket long, band int, node long, comp long, bands array<long>, sketch binary, dist double, n long")
+    rows = [(b, b, n, n, keys[n], bytearray(sketch), bytearray(near_dedup.FINE), 0.1, 2) for b in range(5, 32) for n in keys]
+    entries = spark.createDataFrame(rows, "bucket long, band int, node long, comp long, bands array<long>, sketch binary, fine binary, dist double, n long")
     assert [tuple(r) for r in near_dedup._cross_pairs(entries, 0.8, 0, None).collect()] == [(1, 2)]
 
 
