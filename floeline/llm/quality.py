@@ -13,7 +13,9 @@ temperature of its logit is calibrated on rows that were set aside.
 
 Defined cases: null text counts as empty and pools to the zero vector; without
 labels of both kinds every score is the share of positive labels (1 without
-any); an empty table gives an empty result; other columns are not read.
+any); rows that share an id are scored each, and one of them is learned from (the least pooled vector in
+bytes); a document labelled more than once counts once for each different label; equal texts get equal scores;
+an empty table gives an empty result; other columns, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floeline.llm.flat import is_space, lower_ascii, mix, prefix_hash, span_hash, text_slices, words
@@ -39,23 +41,32 @@ BLOCKS = 16
 SAMPLE = 6000
 HIDDEN = 24
 SLICE = 1 << 19
+#: Words whose neighbours are gathered before they are added to the table, and that one step of pooling takes.
+FLUSH, PIECE = 1 << 20, 1 << 16
 
 
-def index_vectors() -> np.ndarray:
-    """The sparse ternary index vector of every row, by rule."""
-    out = np.zeros((ROWS, DIMS), dtype=np.float32)
+def index_entries() -> tuple[np.ndarray, np.ndarray]:
+    """(columns, signs) of the non-zero entries of every row's index vector, by rule: ROWS x NONZERO each."""
     rows = np.arange(ROWS, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(NONZERO):
-            h = mix(rows, 100 + k)
-            np.add.at(out, (rows.astype(np.int64), (h % np.uint64(DIMS)).astype(np.int64)), np.where(h >> np.uint64(63), 1.0, -1.0))
+        h = np.stack([mix(rows, 100 + k) for k in range(NONZERO)], axis=1)
+    return (h % np.uint64(DIMS)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
+
+
+def index_vectors() -> np.ndarray:
+    """The sparse ternary index vector of every row."""
+    out = np.zeros((ROWS, DIMS), dtype=np.float32)
+    columns, signs = index_entries()
+    for k in range(NONZERO):
+        np.add.at(out, (np.arange(ROWS), columns[:, k]), signs[:, k])
     return out
 
 
-def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(table row, document) of all words, in order of their places."""
+def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(table row and place of each word, table row and place of each unit's form), both in order of their places."""
     if not len(buf):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none
     with np.errstate(over="ignore"):
         low = lower_ascii(buf)
         letter = ((low >= 97) & (low <= 122)) | (low >= 128)
@@ -63,31 +74,30 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         upper = (buf >= 65) & (buf <= 90)
         space = is_space(buf)
         kind = np.where(space, 0, np.where(letter, 1, np.where(digit, 2, 3))).astype(np.int8)
-        edge = np.zeros(len(buf) + 1, dtype=bool)
-        edge[off] = True
-        begin = edge[:-1] | np.concatenate([[True], kind[1:] != kind[:-1]])
-        starts = np.flatnonzero(begin & ~space)
-        nexts = np.append(np.flatnonzero(begin), len(buf))
-        ends = nexts[np.searchsorted(nexts, starts, side="right")]
+        begin = np.empty(len(buf), dtype=bool)
+        begin[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=begin[1:])
+        begin[off[:-1][off[:-1] < len(buf)]] = True
+        begin = np.flatnonzero(begin)
+        inner = ~space[begin]
+        starts, ends = begin[inner], np.append(begin[1:], len(buf))[inner]
         prefix = prefix_hash(low)
-        row = span_hash(prefix, starts, ends, 1)
+        row = (span_hash(prefix, starts, ends, 1) % np.uint64(ROWS)).astype(np.int64)
         # One word for the form of each unit between spaces.
         s, e, _ = words(buf, off)
-        sums = [np.concatenate([[0], np.cumsum(x)]) for x in (upper, letter, digit, kind == 3)]
-        up, let, dig, sign = (x[e] - x[s] for x in sums)
+        counts = [np.cumsum(x, dtype=np.int32) for x in (upper, letter, digit, kind == 3)]
+        up, let, dig, sign = (x[e - 1] - np.where(s, x[s - 1], 0) for x in counts)
         case = np.where(up == 0, 0, np.where(up == let, 1 + (let > 1), np.where((up == 1) & upper[s], 3, 4)))
         unit = span_hash(prefix, s, e, 2)
-        same = np.concatenate([[False], (unit[1:] == unit[:-1]) & (s[1:] > s[:-1])])
+        same = np.concatenate([[False], (unit[1:] == unit[:-1]) & (s[1:] > s[:-1])])[: len(s)]
         form = ((case * 4 + np.minimum(sign, 3)) * 2 + (dig > 0)) * 2 + same
-        form = mix(form.astype(np.uint64), 3)
-        at = np.concatenate([starts, s])
-        order = np.argsort(at, kind="stable")
-        row = (np.concatenate([row, form]) % np.uint64(ROWS)).astype(np.int64)[order]
-    return row, np.searchsorted(off, at[order], side="right") - 1
+        # There are few forms, so each is hashed once.
+        form = (mix(np.arange(80, dtype=np.uint64), 3) % np.uint64(ROWS)).astype(np.int64)[form]
+    return row, starts, form, s
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The normalised word table of the whole corpus: ROWS x DIMS, of fixed size."""
+    """The normalised word table of the whole corpus: ROWS x DIMS, of fixed size; counts are whole numbers and exact."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     per_task = ROWS // BLOCKS
     salts = max(1, math.isqrt(texts.rdd.getNumPartitions()))
@@ -95,52 +105,75 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches):
         from pyspark import TaskContext
 
-        index = index_vectors()
-        table = np.zeros((ROWS, DIMS), dtype=np.float32)
+        columns, signs = index_entries()
+        table = np.zeros(ROWS * DIMS)
+        held, size = [], 0
+
+        def add() -> None:
+            left, right = (np.concatenate([x[k] for x in held]) for k in range(2))
+            for place, near in ((left, right), (right, left)):
+                for k in range(NONZERO):
+                    table[:] += np.bincount(place * DIMS + columns[near, k], weights=signs[near, k], minlength=ROWS * DIMS)
+
         for batch in batches:
             for _, _, buf, off in text_slices(batch.column(0), SLICE):
-                row, doc = tokens(buf, off)
+                row, starts, form, s = tokens(buf, off)
+                at = np.concatenate([starts, s])
+                order = np.argsort(at, kind="stable")  # merges two sorted runs
+                row = np.concatenate([row, form])[order]
                 # Neighbours: the words right before and after, in the same document.
-                pair = np.flatnonzero(doc[1:] == doc[:-1])
-                left, right = row[:-1][pair], row[1:][pair]
-                keys, n = np.unique(np.concatenate([left * ROWS + right, right * ROWS + left]), return_counts=True)
-                place, near = keys // ROWS, keys % ROWS
-                if len(place):
-                    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-                    for a in range(0, len(first), 4096):
-                        part = first[a : a + 4096]
-                        stop = first[a + 4096] if a + 4096 < len(first) else len(place)
-                        table[place[part]] += np.add.reduceat(index[near[part[0] : stop]] * n[part[0] : stop, None].astype(np.float32), part - part[0], axis=0)
+                last = np.searchsorted(at[order], off[1:-1])
+                apart = np.ones(max(0, len(row) - 1), dtype=bool)
+                apart[last[(last > 0) & (last < len(row))] - 1] = False
+                held.append((row[:-1][apart], row[1:][apart]))
+                size += len(row)
+                if size >= FLUSH:
+                    add()
+                    held, size = [], 0
+        if held:
+            add()
         salt = TaskContext.get().partitionId() % salts
-        blocks = [table[b * per_task : (b + 1) * per_task].tobytes() for b in range(BLOCKS)]
+        blocks = [_packed(table[b * per_task * DIMS : (b + 1) * per_task * DIMS]) for b in range(BLOCKS)]
         yield pa.record_batch([pa.array(range(BLOCKS), pa.int32()), pa.array([salt] * BLOCKS, pa.int32()), pa.array(blocks, pa.binary())], names=["block", "salt", "sums"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(per_task * DIMS, dtype=np.float64)
+    def add_up(table: pa.Table) -> pa.Table:
+        total = np.zeros(per_task * DIMS)
         for chunk in table.column("sums"):
-            total += np.frombuffer(chunk.as_buffer(), dtype=np.float32)
-        return pa.table({"block": table.column("block").slice(0, 1), "salt": table.column("salt").slice(0, 1), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+            total += _unpacked(chunk.as_buffer(), per_task)
+        return pa.table({"block": table.column("block").slice(0, 1), "salt": table.column("salt").slice(0, 1), "sums": pa.array([_packed(total)], pa.binary())})
 
     schema = "block int, salt int, sums binary"
-    summed = texts.mapInArrow(count, schema).groupBy("block", "salt").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
-    out = np.zeros((ROWS, DIMS), dtype=np.float32)
+    summed = texts.mapInArrow(count, schema).groupBy("block", "salt").applyInArrow(add_up, schema).groupBy("block").applyInArrow(add_up, schema)
+    out = np.zeros((ROWS, DIMS))
     for r in summed.collect():  # BLOCKS rows of fixed size
-        out[r["block"] * per_task : (r["block"] + 1) * per_task] = np.frombuffer(r["sums"], dtype=np.float32).reshape(-1, DIMS)
+        out[r["block"] * per_task : (r["block"] + 1) * per_task] = _unpacked(r["sums"], per_task).reshape(-1, DIMS)
     out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
     index = index_vectors()
     return (0.5 * out + index / np.maximum(np.linalg.norm(index, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
+def _packed(sums: np.ndarray) -> bytes:
+    return pa.compress(sums.astype(np.int64).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data, rows: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=rows * DIMS * 8, codec="zstd", asbytes=True), dtype=np.int64).astype(np.float64)
+
+
 def pooled(vectors: np.ndarray, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The mean word vector of each document; long documents are summed piece by piece."""
-    row, doc = tokens(buf, off)
+    """The mean word vector of each document (zeros without a word); long documents are summed piece by piece."""
     n = len(off) - 1
-    total = np.zeros((n, DIMS), dtype=np.float64)
-    for a in range(0, len(row), 65536):
-        part, of = row[a : a + 65536], doc[a : a + 65536]
-        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        total[of[first]] += np.add.reduceat(vectors[part], first, axis=0)
-    return total / np.maximum(np.bincount(doc, minlength=n), 1)[:, None]
+    row, starts, form, s = tokens(buf, off)
+    total, counts = np.zeros((n, vectors.shape[1])), np.zeros(n)
+    for rows, at in ((row, starts), (form, s)):
+        edges = np.searchsorted(at, off)
+        counts += np.diff(edges)
+        for a in range(0, len(rows), PIECE):
+            stop = min(len(rows), a + PIECE)
+            i, j = np.searchsorted(edges, a, side="right") - 1, np.searchsorted(edges, stop, side="left")
+            full = np.flatnonzero(np.diff(np.clip(edges[i : j + 1], a, stop)))
+            total[i + full] += np.add.reduceat(vectors[rows[a:stop]], np.maximum(edges[i + full] - a, 0), axis=0)
+    return total / np.maximum(counts, 1)[:, None]
 
 
 class QualityModel:
@@ -149,6 +182,7 @@ class QualityModel:
     def __init__(self, vectors: np.ndarray, prior: float):
         self.vectors, self.prior, self.net = vectors, prior, None
         self.mean, self.scale, self.temperature = np.zeros(DIMS), np.ones(DIMS), 1.0
+        self.hidden = self.offset = None
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.net
@@ -157,7 +191,10 @@ class QualityModel:
     def scores(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         if self.net is None:
             return np.full(len(off) - 1, self.prior)
-        return 1 / (1 + np.exp(-np.clip(self.logits(pooled(self.vectors, buf, off)) / self.temperature, -40, 40)))
+        # The first layer is linear in the mean vector, so words carry its HIDDEN sums instead of their vectors.
+        _, _, w2, b2 = self.net
+        logit = (np.tanh(pooled(self.hidden, buf, off) + self.offset) @ w2 + b2)[:, 0]
+        return 1 / (1 + np.exp(-np.clip(logit / self.temperature, -40, 40)))
 
     def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 9, epochs: int = 60, rate: float = 3e-3) -> None:
         """Adam on the cross-entropy with weight decay; a fifth of the rows sets the temperature."""
@@ -184,6 +221,8 @@ class QualityModel:
                     second[k] = 0.999 * second[k] + 0.001 * g * g
                     net[k] = net[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
         self.net = net
+        self.hidden = (self.vectors @ (net[0] / self.scale[:, None])).astype(np.float32)
+        self.offset = net[1] - (self.mean / self.scale) @ net[0]
         held = aside if aside.any() else ~aside
         logit, truth = self.logits(x[held]), y[held]
         grid = np.exp(np.linspace(np.log(0.2), np.log(20), 120))
@@ -194,17 +233,18 @@ class QualityModel:
 def fit(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, label_col: str) -> QualityModel:
     spark = docs.sparkSession
     vectors = spark.sparkContext.broadcast(word_vectors(docs, text_col))
-    wanted = marks.filter((remainder(id_col, 5) != 0) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y"))
-    wanted = wanted.orderBy(F.xxhash64(F.lit(9), F.col("__id")), "__id").limit(SAMPLE)
+    wanted = marks.filter((remainder(id_col, 5) != 0) & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
+    wanted = wanted.orderBy(F.xxhash64(F.lit(9), F.col("id")), "id", "y").limit(SAMPLE)
 
     def features(batches):
         for batch in batches:
-            for i, j, buf, off in text_slices(batch.column(1), SLICE):
+            for i, j, buf, off in text_slices(batch.column(2), SLICE):
                 x = pooled(vectors.value, buf, off).astype(np.float32)
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "x"])
+                yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
 
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(wanted), "__id")
-    got = rows.select("y", "text").mapInArrow(features, "y int, x binary").collect()  # at most SAMPLE rows of DIMS numbers
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(wanted), "id").select("id", "y", "text")
+    found = rows.mapInArrow(features, "id long, y int, x binary").groupBy("id", "y").agg(F.min("x").alias("x"))
+    got = found.collect()  # at most SAMPLE rows of DIMS numbers
     got.sort(key=lambda r: (r["y"], r["x"]))
     y = np.array([r["y"] for r in got], dtype=np.int64)
     model = QualityModel(vectors.value, float(y.mean()) if len(y) else 1.0)
