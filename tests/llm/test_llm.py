@@ -176,6 +176,41 @@ def test_base_score_and_model_of_documents(docs):
     assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
 
 
+def test_sweeps_sample_the_exact_posterior_of_tables():
+    """Of three customers of a dish: tables t with probability proportional to (ways to seat them at t) * weight**t."""
+    w, d, n, rng = 0.7, hpy.DISCOUNT, 20_000, np.random.default_rng(4)
+    seating, seen = hpy.Seating(np.full(n, 3), np.ones(n)), np.zeros(3)
+    for k in range(20):
+        tables = seating.sweep(np.full(n, w), d, rng)
+        seen += np.bincount(tables.astype(int), minlength=4)[1:] * (k > 5)
+    want = np.array([(1 - d) * (2 - d), 3 * (1 - d), 1.0]) * w ** np.arange(1, 4)
+    assert np.allclose(seen / seen.sum(), want / want.sum(), atol=0.01)
+
+
+def test_sweeps_keep_every_customer_seated():
+    rng = np.random.default_rng(6)
+    customers = rng.integers(1, 200, 500)
+    seating = hpy.Seating(customers, hpy.seat(customers, np.full(500, 0.5), hpy.DISCOUNT, rng))
+    for _ in range(3):
+        tables = seating.sweep(rng.random(500) * 3, hpy.DISCOUNT, rng)
+        assert (np.bincount(seating.cell, weights=seating.seated, minlength=len(seating.size)) == seating.size).all()
+        used = np.unique(seating.at)
+        assert (np.bincount(seating.cell[used], minlength=len(seating.size)) == tables[seating.cells]).all()
+        assert (seating.cell[seating.at] == seating.cell).all() and (tables[customers == 1] == 1).all()
+
+
+def test_probabilities_of_a_restaurant_add_up_to_one():
+    k = hpy.Counts(tokens=30, distinct=4, words=np.arange(4, dtype=np.uint64), counts=np.array([12, 9, 6, 3]))
+    k.guests, k.tables = np.array([5.0, 4.0, 3.0, 1.0]), np.array([2.0, 2.0, 1.0, 1.0])
+    k.guests_all, k.tables_all = 13.0, 6.0
+    customers, tables = np.array([6.0, 3.0, 0.0, 1.0]), np.array([2.0, 2.0, 0.0, 1.0])
+    k.room_customers, k.room_tables = np.array([10.0]), np.array([5.0])
+    room = np.zeros(4, dtype=np.int64)
+    unseen = k.parent(np.zeros(1), np.zeros(1))
+    total = k.predictive(room, customers, tables, k.parent(k.guests, k.tables)).sum() + k.predictive(room[:1], np.zeros(1), np.zeros(1), unseen)[0]
+    assert math.isclose(total, 1.0)
+
+
 def test_frequent_cells_are_seated_several_times(spark, docs, monkeypatch):
     rows = docs.selectExpr("doc_id AS id", "crc32(cast(cast(doc_id AS string) AS binary)) % 10 = 0 AS held_out", "text")
     made = {}
