@@ -9,7 +9,9 @@ and never moves its text.
 
 Defined cases: null text counts as the empty text; an empty table gives an empty
 result; of rows that agree in text *and* id (repeated rows) all carry the same
-verdict, and ``keep_documents`` keeps one of them; other columns are not read.
+verdict, and ``keep_documents`` keeps one of them; a null id is smaller than any other, and
+rows without id are kept by ``exact_dedup`` where all of their group have none; other columns, of any
+name, are not read. Texts may be of any length; only texts that repeat are moved.
 """
 
 from __future__ import annotations
@@ -18,15 +20,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floeline.llm.shared import documents, settled, whole
+from floeline.llm.shared import documents, fresh, settled, small, whole
 
 #: Fingerprints that one merged block should hold; bounds the memory of a merge task.
 BLOCK_FINGERPRINTS = 500_000
-#: Repeated fingerprints up to which they are broadcast (16 MB); beyond, a shuffle join.
-BROADCAST_FINGERPRINTS = 2_000_000
+#: Classes (100 bytes each) up to which they are broadcast; beyond, a shuffle join.
+BROADCAST_CLASSES = 300_000
 
 
 class CountingQuotientFilter:
@@ -116,40 +118,49 @@ def repeated_fingerprints(fingerprints: DataFrame, block_bits: int) -> DataFrame
     return filters.groupBy("block").applyInArrow(merge, "fp long")
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """fp, text_sha256, keep_id, group_size of the texts that occur more than once, of rows (doc_id, text, fp)."""
+    n = rows.select("doc_id").count()
+    block_bits = max(0, math.ceil(math.log2(max(1, n / BLOCK_FINGERPRINTS))))
+    repeated = settled(repeated_fingerprints(rows, block_bits))
+    # Byte verification: equal only if the texts are; copies collapse before the shuffle.
+    groups = rows.join(small(repeated), "fp", "left_semi").groupBy("fp", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+    return settled(groups.select("fp", _sha("text").alias("text_sha256"), "keep_id", "group_size"))
+
+
+def _sha(text: Column | str) -> Column:
+    return F.sha2((F.col(text) if isinstance(text, str) else text).cast("binary"), 256)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, fp (xxhash64 of the text).
 
     Of equal texts the row with the largest id stays.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).withColumn("fp", F.xxhash64("text"))
-    n = docs.select(id_col).count()
-    block_bits = max(0, math.ceil(math.log2(max(1, n / BLOCK_FINGERPRINTS))))
-    repeated = settled(repeated_fingerprints(rows, block_bits))
-    if repeated.count() <= BROADCAST_FINGERPRINTS:
-        repeated = F.broadcast(repeated)
-    # Byte verification: equal only if the texts are; copies collapse before the shuffle.
-    classes = (
-        rows.join(repeated, "fp", "left_semi")
-        .groupBy("fp", "text")
-        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("fp", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
-    )
-    seen = rows.select("doc_id", "fp", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
-    joined = seen.join(classes, ["fp", "text_sha256"], "left")
-    keep = F.coalesce("keep_id", "doc_id")
+    classes = _classes(rows)
+    # A class is one row, so a large group meets it where its rows are read.
+    joined = rows.select("doc_id", "fp", _sha("text").alias("text_sha256")).join(small(classes, BROADCAST_CLASSES), ["fp", "text_sha256"], "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", "fp")
 
 
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without the copies; of fully repeated rows one stays."""
-    verdict = exact_dedup(docs, id_col, text_col)
-    dropped = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).distinct()
-    stays = docs.join(dropped, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(whole(docs[text_col])) == F.col("__fp")), "left_anti")
-    tied = settled(verdict.filter("kept").groupBy("doc_id", "fp").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")))
+    fp, sha, keep, size = fresh("fp", "sha", "keep", "size")
+    text = whole(F.col(text_col))
+    classes = _classes(docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).withColumn("fp", F.xxhash64("text")))
+    classes = small(classes.toDF(fp, sha, keep, size), BROADCAST_CLASSES)
+    met = docs.join(classes, (F.xxhash64(text) == F.col(fp)) & (_sha(text) == F.col(sha)), "left")
+    stays = met.filter(F.col(size).isNull() | docs[id_col].eqNullSafe(F.col(keep)))
+    # Rows that share the kept id and the text.
+    tied = settled(stays.filter(F.col(size).isNotNull()).groupBy(fp, sha).agg(F.count("*").alias(size)).filter(F.col(size) > 1).select(fp, sha))
     if tied.isEmpty():
-        return stays
-    same = stays[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(whole(stays[text_col])) == F.col("__fp"))
-    return stays.join(tied, same, "left_anti").unionByName(stays.join(tied, same, "left_semi").dropDuplicates([id_col, text_col]))
+        return stays.select(*[docs[c] for c in docs.columns])
+    stays = stays.select(*[docs[c] for c in docs.columns], F.col(fp), F.col(sha))
+    once = stays.join(small(tied), [fp, sha], "left_semi").dropDuplicates([fp, sha])
+    alone = stays.join(small(tied.select(F.col(fp).alias(keep), F.col(sha).alias(size))), (F.col(fp) == F.col(keep)) & (F.col(sha) == F.col(size)), "left_anti")
+    return alone.unionByName(once.select(*alone.columns)).drop(fp, sha)
 
 
 def op2_exact_dedup(spark, sf_dir) -> DataFrame:
