@@ -16,22 +16,29 @@ to be sorted in one task.
 
 Defined cases: null text counts as empty (size 0, never taken); a null source
 is a source of its own and comes last; an empty table gives an empty result;
-repeated rows are documents of their own; other columns are not read.
+repeated rows and rows that share an id are documents of their own, without id too;
+documents of equal size in a source tie and are told apart by a hash of their id; other
+columns, of any name, are not read. Sources are taken to be few enough to be sorted in one task
+(one row each); their documents are not.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from floeline.llm.shared import documents, release, settled
+from floeline.llm.shared import documents, fresh, release, settled, small
 
-#: Newton steps; each is damped so that it never leaves the bracket of the root.
-NEWTON_STEPS = 14
+#: Every so many steps of Newton, which never leave the bracket of the root, the bracket is halved instead, so that they end.
+HALVING = 4
 #: Sizes that one block of the rounding's fold holds. A source of n distinct sizes has over n * n / 2 words, so all its sizes fit in an array.
 BLOCK_SIZES = 512
 #: Documents of a cell that one salt should hold.
 SALT_ROWS = 50_000
+#: Cells (60 bytes each) up to which they are broadcast, so that a large cell meets them where its rows are.
+CELLS = 500_000
 #: Bracket of the scaled dual variable: beyond it all rates are 0 or the most.
 _REACH = 60.0
 
@@ -72,11 +79,12 @@ def _rate(x: Column, most: float) -> Column:
     return F.lit(most) / (F.lit(1.0) + F.lit(most - 1.0) * F.exp(-x))
 
 
-def dual(histogram: DataFrame, goals: DataFrame, most: float = 3.0, steps: int = NEWTON_STEPS) -> DataFrame:
+def dual(histogram: DataFrame, goals: DataFrame, most: float = 3.0) -> DataFrame:
     """One row per source: source, lam (the dual variable over the mean size), scale.
 
     ``histogram``: source, size, docs. Newton's step is taken where it stays in the
-    bracket that earlier residuals leave, else the bracket's middle.
+    bracket that earlier residuals leave, else the bracket's middle, until every source
+    meets its target (to a billionth) or its bracket is closed.
     """
     tilt = goals.select(
         "source",
@@ -85,10 +93,11 @@ def dual(histogram: DataFrame, goals: DataFrame, most: float = 3.0, steps: int =
         F.lit(0.0).alias("lam"),
         F.lit(-_REACH).alias("low"),
         F.lit(_REACH).alias("high"),
+        F.lit(False).alias("done"),
     )
     # Whatever is known of a source travels through the aggregation, so a step is one join with a row a source.
-    known = ("target", "scale", "lam", "low", "high")
-    for step in range(steps):
+    known = ("target", "scale", "lam", "low", "high", "done")
+    for step in itertools.count():
         x = F.col("lam") * F.col("size") / F.col("scale")
         rate = _rate(x, most)
         tilt = (
@@ -104,12 +113,14 @@ def dual(histogram: DataFrame, goals: DataFrame, most: float = 3.0, steps: int =
         low, high = F.when(short, F.col("lam")).otherwise(F.col("low")), F.when(short, F.col("high")).otherwise(F.col("lam"))
         tilt = tilt.withColumns({"low": low, "high": high, "next": F.col("lam") + (F.col("target") - F.col("taken")) / F.nullif("slope", F.lit(0.0))})
         inside = (F.col("next") > F.col("low")) & (F.col("next") < F.col("high"))
-        done = F.abs(F.col("taken") - F.col("target")) <= F.lit(1e-9) * F.col("target")
-        moved = F.when(done, F.col("lam")).when(inside, F.col("next")).otherwise((F.col("low") + F.col("high")) / 2)
-        tilt = tilt.select("source", "target", "scale", moved.alias("lam"), "low", "high")
+        done = (F.abs(F.col("taken") - F.col("target")) <= F.lit(1e-9) * F.col("target")) | (F.col("high") - F.col("low") < F.lit(1e-12))
+        newton = inside & F.lit(step % HALVING != HALVING - 1 or step < 2 * HALVING)
+        moved = F.when(done, F.col("lam")).when(newton, F.col("next")).otherwise((F.col("low") + F.col("high")) / 2)
+        tilt = tilt.select("source", "target", "scale", moved.alias("lam"), "low", "high", done.alias("done"))
         if step % 2:
             tilt = settled(tilt)
-    return tilt
+            if tilt.filter("NOT done").isEmpty():
+                return tilt
 
 
 def _spread(cells: DataFrame, most: int) -> DataFrame:
@@ -156,7 +167,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: fl
     cells = cells.select(F.col("source").alias("s"), F.col("size").alias("z"), F.floor(F.col("copies") / F.col("docs")).alias("base"), (F.col("copies") % F.col("docs")).alias("more"), "docs")
     cells = cells.withColumn("salts", F.ceil(F.col("docs") / SALT_ROWS))
     at = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
-    placed = sized.join(cells, at, "left").withColumn("hash", F.xxhash64(F.lit(41), F.col("doc_id"))).withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64(F.lit(43), F.col("doc_id")), F.col("salts"))).otherwise(F.lit(0)))
+    placed = sized.join(small(settled(cells), CELLS), at, "left").withColumn("hash", F.xxhash64(F.lit(41), F.col("doc_id"))).withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64(F.lit(43), F.col("doc_id")), F.col("salts"))).otherwise(F.lit(0)))
     # How many of the further copies each salt of a large cell gets: by running counts, so they add up.
     large = placed.filter("salts > 1").groupBy("s", "z", "salt", "more", "docs").agg(F.count("*").alias("n"))
     running = F.sum("n").over(Window.partitionBy("s", "z").orderBy("salt"))
@@ -179,10 +190,11 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     A document of size 0 costs nothing and stays once. Ids are taken to be unique;
     rows that share one get the largest of their numbers of copies.
     """
+    own, times, copy = fresh("id", "times", "copy")
     taken = mix(docs, weights, share, most, id_col, text_col, source_col)
-    times = taken.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).alias("__times"))
-    repeated = docs.join(times.filter("__times > 0"), docs[id_col].eqNullSafe(F.col("__id")))
-    return repeated.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times").cast("long")))).select(*[repeated[c] for c in docs.columns])
+    often = taken.groupBy(F.col("doc_id").alias(own)).agg(F.max(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).alias(times))
+    repeated = docs.join(often.filter(F.col(times) > 0), docs[id_col].eqNullSafe(F.col(own)))
+    return repeated.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times).cast("long")))).select(*[repeated[c] for c in docs.columns])
 
 
 def op4_source_mixing(spark, sf_dir) -> DataFrame:
