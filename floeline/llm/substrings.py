@@ -18,10 +18,10 @@ from each slice. The windows of very frequent anchors are dealt by a hash of the
 whole window, so that a passage that a third of all documents hold is spread.
 
 Defined cases: null text counts as empty; texts under DEPTH bytes lose nothing;
-ids are taken to be unique, and repeated rows (same id and text) share one
-verdict; rows without id come before all others, those of equal text as one document and
-those of different texts in the order of their texts' digests; an empty table gives an empty
-result; other columns are not read.
+repeated rows (same id and text) share one verdict; rows that share an id, or have none, with
+different texts are documents of their own, in the order of their texts' digests, and those without id come
+before all others; texts may be as long as Arrow allows (2 GiB); an empty table gives an empty
+result; other columns, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -31,11 +31,12 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floeline.llm.flat import flat, mix, prefix_hash, rolling_hash, span_hash, text_slices
-from floeline.llm.shared import documents, settled, whole, written
+from floeline.llm.rows import digest, identified, of_texts
+from floeline.llm.shared import BROADCAST_ROWS, documents, settled, small, written
 
 DEPTH = 100
 #: Bytes of an anchor string.
@@ -44,11 +45,11 @@ ANCHOR = 32
 FREQUENT = 20_000
 #: Bytes of packed anchors that one bucket should hold.
 BUCKET_BYTES = 4 << 20
-BROADCAST_IDS = 2_000_000
 SLICE = 1 << 20
-_PLACE = np.uint64((1 << 28) - 1)
-#: Stands for the null id of the first text that has none, the next ones for the others; smaller than any real one.
-NO_ID = -(1 << 63)
+#: Bits of a place in a slice, as many as a text can be long; the hash's other bits choose the anchor.
+_PLACE = np.uint64((1 << 31) - 1)
+#: Groups of equal texts (50 bytes each) up to which they are broadcast.
+GROUPS = 500_000
 
 
 def radix_classes(buf: np.ndarray, at: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -280,7 +281,7 @@ def _settle(batches):
 
 
 def _of_ids(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
 def _cut(batches):
@@ -300,37 +301,13 @@ def _cut(batches):
         yield pa.record_batch([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _sha(text: str) -> Column:
-    return F.sha2(F.col(text).cast("binary"), 256)
-
-
-def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """((id, text) of all rows, the least id that is a real one): each distinct text without id gets one of its own, from NO_ID on."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"))
-    nameless = rows.filter("id IS NULL")
-    if nameless.select("id").isEmpty():
-        return rows, NO_ID
-    numbered = nameless.select(_sha("text").alias("sha")).distinct().repartitionByRange("sha").sortWithinPartitions("sha").withColumn("at", F.monotonically_increasing_id())
-    numbered = settled(numbered.select("sha", F.shiftright("at", 33).alias("part"), (F.col("at") % F.lit(1 << 33)).alias("at")))
-    # Numbers without gaps, so that they take no more ids than there are texts.
-    sizes = {r["part"]: r["count"] for r in numbered.groupBy("part").count().collect()}
-    before = np.concatenate([[0], np.cumsum([sizes[p] for p in sorted(sizes)])]).tolist()
-    offsets = docs.sparkSession.createDataFrame(list(zip(sorted(sizes), before[:-1], strict=True)), "part long, offset long")
-    least = NO_ID + before[-1]
-    if not rows.filter(F.col("id") < least).select("id").isEmpty():
-        raise ValueError(f"ids below {least} leave no numbers for the texts without id")
-    numbered = numbered.join(F.broadcast(offsets), "part").select("sha", (F.lit(NO_ID) + F.col("offset") + F.col("at")).alias("number"))
-    named = nameless.select(_sha("text").alias("sha"), "text").join(numbered, "sha").select(F.col("number").alias("id"), "text")
-    return rows.filter("id IS NOT NULL").unionByName(named), least
-
-
 def repeated_spans(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, copies, spans): id, sha and n_bytes of all rows (id, text); ids that are copies of an earlier text;
     and (id, spans) of the other documents that hold a repeat."""
-    keys = written(rows.select("id", _sha("text").alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "text-keys")
+    keys = written(rows.select("id", digest("text").alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "text-keys")
     long = keys.filter(F.col("n_bytes") >= DEPTH)
-    first = long.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("most")).filter("first != most")
-    copies = settled(long.join(first, "sha").filter("id != first").select("id").distinct())
+    first = settled(long.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("most")).filter("first != most").select("sha", "first"))
+    copies = settled(long.join(small(first, GROUPS), "sha").filter("id != first").select("id").distinct())
     once = rows.filter(F.octet_length("text") >= DEPTH).join(_of_ids(copies), "id", "left_anti")
     total = keys.agg(F.sum("n_bytes")).first()[0] or 0
     anchors = settled(repeated_anchors(once.select("id", "text"), _buckets(total)))
@@ -343,14 +320,17 @@ def repeated_spans(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows, least = identified(docs, id_col, text_col)
+    rows, names = identified(of_texts(docs, id_col, text_col))
     keys, copies, spans = repeated_spans(rows)
     touched = _of_ids(spans.select("id"))
     cut = rows.join(touched, "id", "left_semi").join(spans, "id").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    rest = keys.join(touched, "id", "left_anti").join(copies.withColumn("copy", F.lit(True)), "id", "left")
+    rest = keys.join(touched, "id", "left_anti").join(small(copies.withColumn("copy", F.lit(True))), "id", "left")
     gone = F.coalesce("copy", F.lit(False))
-    rest = rest.select("id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"), F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("sha")).alias("kept_sha256"))
-    return cut.unionByName(rest).select(F.when(F.col("id") >= least, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    rest = rest.select("id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"), F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.lower(F.hex("sha"))).alias("kept_sha256"))
+    found = cut.unionByName(rest)
+    if names is not None:
+        found = found.join(small(names.select(F.col("number").alias("id"), F.col("id").alias("own"))), "id").withColumn("id", F.col("own"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op10_suffix_dedup(spark, sf_dir) -> DataFrame:
