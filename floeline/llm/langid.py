@@ -8,8 +8,10 @@ confidence on that part, at most ``REJECT_MOST``.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and
 is rejected; without any labelled row every text is ``und``; an empty table
-gives an empty result; ties go to the first language by code point; other
-columns are not read.
+gives an empty result; ties go to the first language by code point; repeated rows and rows that
+share an id are predicted each, and one of them is learned from; a document of any length is read
+whole when it is predicted, and learned from in pieces spread over all of it; other columns, of any
+name, are not read.
 """
 
 from __future__ import annotations
@@ -18,21 +20,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floeline.llm.flat import text_slices
+from floeline.llm.sample import hashed
 from floeline.llm.shared import documents, remainder
-from floeline.llm.subword import BagModel, bags, letters_only, segment_sums, softmax, spaced, temperature
+from floeline.llm.subword import WIDTH, BagModel, bags, letters_only, segment_sums, softmax, spaced, temperature
 
-#: Labelled documents for each language that the model is fitted on, of at most so many bytes.
+#: Labelled documents for each language that the model is fitted on; every language is learned.
 SAMPLE_PER_LANGUAGE = 800
-SAMPLE_BYTES = 64 << 10
-#: Languages that the sample holds at most (the most frequent ones).
-LANGUAGES = 200
-#: Bytes of a training excerpt, and excerpts of a document.
-EXCERPT = 240
-EXCERPTS = 3
+#: Characters of a piece that is trained on, and pieces up to which a document comes whole.
+EXCERPT, PIECES = 240, 32
+EPOCHS = 3
 REJECT_SHARE = 0.002
 REJECT_MOST = 0.5
 UNKNOWN = "und"
@@ -40,29 +40,45 @@ UNKNOWN = "und"
 
 @dataclass
 class LanguageModel:
+    """``table`` holds the logits of each subword or, with more languages than WIDTH, its embedding, which ``layer`` maps."""
+
     names: list[str]
     table: np.ndarray
+    layer: np.ndarray | None
     bias: np.ndarray
     temperature: float
     reject_below: float
 
+    def logits(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        sums, counts = segment_sums(self.table, text, starts)
+        mean = sums / np.maximum(counts, 1)[:, None]
+        return (mean if self.layer is None else mean @ self.layer) + self.bias
+
     def probabilities(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """One row of class probabilities for each document."""
         text, first = spaced(letters_only(buf), off)
-        sums, counts = segment_sums(self.table, text, first[:-1])
-        return softmax((sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature)
+        return softmax(self.logits(text, first[:-1]) / self.temperature)
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list:
-    """Rows (text, lang): for each language the documents that come first by a hash of their id."""
-    usable = docs.filter((remainder(id_col, 5) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_BYTES))
-    # Ids and lengths are ranked; only the chosen documents' texts move.
-    ids = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("__id"), F.xxhash64(F.lit(5), F.col(id_col)).alias("h"))
-    top = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    ranked = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "__id"))).filter(F.col("r") <= SAMPLE_PER_LANGUAGE)
-    chosen = ranked.join(F.broadcast(top.select("lang")), "lang", "left_semi").select("__id", "lang", "r")
-    texts = usable.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), "__id").orderBy("lang", "r", "text").select("text", "lang").collect()
+    """Rows (lang, h, pieces): of every language the documents of the smallest hashes, in pieces of EXCERPT characters.
+
+    Documents of up to PIECES pieces come whole, of longer ones so many pieces, spread evenly over the whole text.
+    """
+    usable = docs.filter((remainder(id_col, 5) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = usable.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(5), F.col(id_col)).alias("h"), F.col(text_col).cast("string").alias("text"))
+    # The bound comes from ids only; texts are read where a row is chosen. Rows that share an id are one.
+    few = hashed(rows, "lang", "h", SAMPLE_PER_LANGUAGE)
+    count = F.greatest(F.ceil(F.char_length("text") / F.lit(float(EXCERPT))).cast("int"), F.lit(1))
+    taken = F.least(count, F.lit(PIECES))
+    pieces = F.transform(F.sequence(F.lit(0), taken - 1), lambda k: F.col("text").substr(F.floor(k.cast("long") * count / taken).cast("int") * EXCERPT + 1, F.lit(EXCERPT)))
+    got = few.select("lang", "h", pieces.alias("pieces")).groupBy("lang", "h").agg(F.min("pieces").alias("pieces")).collect()
+    out, held = [], {}
+    for r in sorted(got, key=lambda r: (r["lang"], r["h"])):
+        held[r["lang"]] = held.get(r["lang"], 0) + 1
+        if held[r["lang"]] <= SAMPLE_PER_LANGUAGE:
+            out.append(r)
+    return out
 
 
 def fit(sample: list, seed: int = 5) -> LanguageModel | None:
@@ -70,29 +86,32 @@ def fit(sample: list, seed: int = 5) -> LanguageModel | None:
     if not names:
         return None
     rng = np.random.default_rng(seed)
-    y = np.array([names.index(r["lang"]) for r in sample])
-    raw = [r["text"].encode("utf-8", "replace") for r in sample]
+    number = {name: k for k, name in enumerate(names)}
+    y = np.array([number[r["lang"]] for r in sample])
     aside = rng.random(len(sample)) < 0.2
+    # A language whose documents were all set aside would not be learned.
+    for k in range(len(names)):
+        if aside[y == k].all():
+            aside[np.flatnonzero(y == k)] = False
+    raw = [x.encode("utf-8", "replace") for r in sample for x in r["pieces"]]
     text, first = spaced(letters_only(np.frombuffer(b"".join(raw), dtype=np.uint8)), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
-    starts, ends, labels = [], [], []
-    for i in np.flatnonzero(~aside):
-        for _ in range(EXCERPTS):
-            s = int(first[i] + rng.integers(0, max(1, first[i + 1] - first[i] - EXCERPT)))
-            starts.append(s)
-            ends.append(min(s + EXCERPT, int(first[i + 1])))
-            labels.append(y[i])
+    owner = np.repeat(np.arange(len(sample)), [len(r["pieces"]) for r in sample])
+    train = np.flatnonzero(~aside[owner])
     model = BagModel.fresh(len(names), rng)
-    if starts:
-        at, off = bags(text, np.array(starts), np.array(ends))
-        labels = np.array(labels)
-        share = np.bincount(labels, minlength=len(names)) / len(labels)
-        model.train(at, off, labels, (1 / np.maximum(share, 1e-9) / len(names))[labels].astype(np.float32), epochs=4, rate=6.0, rng=rng)
-    sums, counts = segment_sums(model.table, text, first[:-1])
-    logits = sums / np.maximum(counts, 1)[:, None] + model.bias
-    t = temperature(logits[aside], y[aside])
-    sure = softmax(logits[aside] / t).max(axis=1)
-    reject = min(REJECT_MOST, float(np.quantile(sure, REJECT_SHARE))) if len(sure) else 0.0
-    return LanguageModel(names, model.table, model.bias, t, reject)
+    at, off = bags(text, first[train], first[train + 1])
+    labels = y[owner[train]]
+    share = np.bincount(labels, minlength=len(names)) / len(labels)
+    # A document's pieces weigh as one document of about three.
+    own = 3 / np.bincount(owner)[owner[train]]
+    weight = (1 / np.maximum(share, 1e-9) / len(names))[labels] * np.minimum(own, 1)
+    model.train(at, off, labels, weight.astype(np.float32), epochs=EPOCHS, rate=6.0, rng=rng)
+    many = len(names) > WIDTH
+    made = LanguageModel(names, model.embeddings if many else model.table, model.layer if many else None, model.bias, 1.0, 0.0)
+    logits = made.logits(text, first[np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])])
+    made.temperature = temperature(logits[aside], y[aside])
+    sure = softmax(logits[aside] / made.temperature).max(axis=1)
+    made.reject_below = min(REJECT_MOST, float(np.quantile(sure, REJECT_SHARE))) if len(sure) else 0.0
+    return made
 
 
 def has_letter(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
