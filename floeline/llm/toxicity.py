@@ -12,8 +12,9 @@ document's probability is calibrated on rows that were set aside.
 Defined cases: null text counts as empty; a text without a subword gets the
 lowest evidence seen, never a crash; without labels of both kinds every score is
 the share of positive labels (0 without any); an empty table gives an empty
-result; a document labelled more than once counts once for each label row in
-training, but is scored once; other columns are not read.
+result; a document labelled more than once counts once for each different label in
+training; rows that share an id are scored each, and one of them (the least text) is learned from;
+equal texts get equal scores; other columns, of any name, are not read. Texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floeline.llm import subword
 from floeline.llm.flat import text_slices
+from floeline.llm.sample import hashed
 from floeline.llm.shared import documents, labels, remainder
 from floeline.llm.subword import BagModel, all_marks, bags, buckets, segment_sums, spaced
 
@@ -79,13 +81,16 @@ class ToxicModel:
 
 def labelled_sample(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int = SAMPLE_PER_CLASS) -> list:
     """Rows (text, y): for each class the documents that come first by a hash of their id."""
-    wanted = marks.filter((remainder(id_col, 5) != 0) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y"))
-    first = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(3), F.col("__id")), "__id")
-    # Twice the bound is ranked, as some documents may be absent or too long.
-    wanted = wanted.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= 2 * per_class)
-    usable = docs.filter(F.octet_length(text_col) <= SAMPLE_BYTES).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    found = usable.join(F.broadcast(wanted), "__id").withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("r", "text")))
-    return found.filter(F.col("n") <= per_class).orderBy("y", "n").select("text", "y").collect()
+    wanted = marks.filter((remainder(id_col, 5) != 0) & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
+    wanted = wanted.withColumn("h", F.xxhash64(F.lit(3), F.col("id")))
+    # Twice the bound is drawn, as some documents may be absent or too long.
+    few = hashed(wanted, "y", "h", 2 * per_class)
+    usable = docs.filter(F.octet_length(text_col) <= SAMPLE_BYTES).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = usable.join(F.broadcast(few), "id").groupBy("id", "y", "h").agg(F.min("text").alias("text"))
+    out = []
+    for y in (0, 1):
+        out += found.filter(F.col("y") == y).orderBy("h", "id").limit(per_class).select("text", "y").collect()
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
