@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from floeline.llm.flat import text_slices
 from floeline.llm.sample import hashed
-from floeline.llm.shared import documents, remainder
+from floeline.llm.shared import documents, release, remainder
 from floeline.llm.subword import WIDTH, BagModel, bags, letters_only, segment_sums, softmax, spaced, temperature
 
 #: Labelled documents for each language that the model is fitted on; every language is learned.
-SAMPLE_PER_LANGUAGE = 800
+SAMPLE_PER_LANGUAGE = 500
 #: Characters of a piece that is trained on, and pieces up to which a document comes whole.
 EXCERPT, PIECES = 240, 32
 EPOCHS = 3
@@ -150,6 +150,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def accepted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs``, all columns, whose language is accepted; one pass, no join."""
     model = fit(labelled_sample(docs, id_col, text_col, lang_col))
+    release(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 

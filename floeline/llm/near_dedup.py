@@ -274,6 +274,7 @@ def _cross_pairs(entries: DataFrame, threshold: float, lo: int, hi: int | None)
 def _classes(rows: DataFrame, threshold: float) -> DataFrame:
     """(id, class): every row (id, text) whose class is not its own id alone; ids are of distinct texts or repeated rows."""
     spark = rows.sparkSession
+    release(spark)
     scratch = Scratch(spark, "near")
     keys = rows.select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
     # Equal texts are one node, the smallest id; few enough keys are taken out where the texts are read.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -85,9 +86,13 @@ class Scratch:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the broadcasts, shuffle files and checkpoints that nothing refers to, and the driver shrink its heap."""
+    """Lets Spark drop the broadcasts, shuffle files and checkpoints that nothing refers to, and the driver shrink its heaps."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    # The C library keeps freed memory of the driver's Python otherwise; not every one has the call.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 #: Settings of the C library's and Arrow's allocators in Python workers: large arrays go back to the system when freed.
 WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(2 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 

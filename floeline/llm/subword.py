@@ -85,13 +85,17 @@ def segment_sums(table: np.ndarray, text: np.ndarray, starts: np.ndarray) -> tup
 def bags(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, offsets) of the subwords that begin in each span [start, end)."""
     every = [buckets(text, size, rows) for size in SIZES]
-    held, sizes = [], []
-    for s, e in zip(starts, ends, strict=True):
-        part = [at[s:e][valid[s:e]] for at, valid in every]
-        one = np.concatenate(part)
-        held.append(one)
-        sizes.append(len(one))
-    return (np.concatenate(held) if held else np.zeros(0, dtype=np.uint32)), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    upto = sum(np.concatenate([[0], np.cumsum(valid)]) for _, valid in every)
+    n = len(upto) - 1
+    off = np.concatenate([[0], np.cumsum(upto[np.minimum(ends, n)] - upto[np.minimum(starts, n)])]).astype(np.int64)
+    del upto
+    out = np.empty(off[-1], dtype=np.uint32)
+    for s, e, i in zip(starts, ends, off[:-1], strict=True):
+        for at, valid in every:
+            one = at[s:e][valid[s:e]]
+            out[i : i + len(one)] = one
+            i += len(one)
+    return out, off
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
