@@ -369,7 +369,7 @@ def test_classifiers_find_the_rare_class(spark):
 
 
 def test_language_ids_of_odd_rows(spark, odd):
-    many = [(100 + k, f"{'abcdefghijklmnopqrstuvwxyzäöüß'[k % 30] * 4} zeile " * 5, f"l{k % 30}", "a", 0, "k", "f") for k in range(300)]
+    many = [(100 + k, f"{'abcdefghijklmnopqrstuvwxyzäöüß'[k % 30] * 4} " * 30, f"l{k % 30}", "a", 0, "k", "f") for k in range(300)]
     rows = {r.doc_id: r for r in langid.identify(odd.unionByName(spark.createDataFrame(many, SCHEMA))).collect()}
     for i in (1, 2):
         assert (rows[i].lang_pred, rows[i].score, rows[i].rejected) == ("und", 0.0, True)
