@@ -1,4 +1,4 @@
-"""State queries and transitions as declarative plans: one text, run by Spark and by the oracle."""
+"""SQL wording of the state queries and transitions: the oracles of ``floeline.catalog``, and its queries where no operator is named."""
 
 from __future__ import annotations
 
@@ -23,6 +23,8 @@ WHERE {DUE} AND (s.concurrency_key = '' OR s.key_limit <= 0 OR COALESCE(k.runnin
  AND (s.sequence_key = '' OR s.seq <= COALESCE(q.head, s.seq)) AND s.labels IN ('', 'gpu')
 """
 SLOTS = 200
+#: When the event of ``deliver_event`` comes.
+EVENT_AT = 1704067200000000000 + 10 * 86400000000000
 CLAIM = f"SELECT * FROM ({CANDIDATES}) c WHERE rn <= {SLOTS}"
 DEPS = "SELECT s.run_id, s.id, s.name, TRIM(d.dep) AS dep FROM (SELECT run_id, id, name, status, depends_on FROM {steps} WHERE depends_on <> '') s"
 
@@ -34,7 +36,7 @@ QUERIES: dict[str, str] = {
     "running_per_key": "SELECT concurrency_key, COUNT(*) AS n FROM {steps} WHERE status='RUNNING' AND concurrency_key <> '' GROUP BY concurrency_key",
     "rate_remaining": f"SELECT q.queue, GREATEST(CAST(0 AS BIGINT), 2400 - COALESCE(w.n, 0)) AS remaining FROM (SELECT DISTINCT queue FROM {{steps}}) q LEFT JOIN (SELECT queue, COUNT(*) AS n FROM {{steps}} WHERE claimed_at >= {NOW} - 2592000000000000 GROUP BY queue) w ON w.queue = q.queue",
     "next_due": f"SELECT COALESCE(MIN(t), 0) AS due FROM (SELECT run_at AS t FROM {{steps}} WHERE status='QUEUED' UNION ALL SELECT resume_at FROM {{steps}} WHERE status='SUSPENDED' AND resume_at > 0) x",
-    "run_outcome": "SELECT run_id, CASE WHEN SUM(CASE WHEN status='FAILED' THEN 1 ELSE 0 END) > 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS outcome, MAX(ord) AS last_ord, MIN(CASE WHEN status='FAILED' THEN error END) AS error FROM {steps} GROUP BY run_id HAVING SUM(CASE WHEN status IN ('QUEUED','RUNNING','BLOCKED','SUSPENDED') THEN 1 ELSE 0 END) = 0",
+    "run_outcome": "SELECT run_id, CASE WHEN SUM(CASE WHEN status='FAILED' THEN 1 ELSE 0 END) > 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS outcome, MAX(ord) AS last_ord, MAX(CASE WHEN back = 1 THEN qty END) AS output, MAX(CASE WHEN bad = 1 THEN error END) AS error FROM (SELECT s.*, ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY ord DESC) AS back, CASE WHEN status='FAILED' THEN ROW_NUMBER() OVER (PARTITION BY run_id, status ORDER BY ord) END AS bad FROM {steps} s) s GROUP BY run_id HAVING SUM(CASE WHEN status IN ('QUEUED','RUNNING','BLOCKED','SUSPENDED') THEN 1 ELSE 0 END) = 0",
     "group_status": f"SELECT run_id, {UNRANK} AS status FROM (SELECT run_id, {RANK} AS rank FROM {{steps}}) x GROUP BY run_id",
     "known_queues": "SELECT DISTINCT queue FROM {steps}",
     # lookups, filters, pages
@@ -50,32 +52,32 @@ QUERIES: dict[str, str] = {
     # scheduling
     "claim_candidates": CLAIM,
     "claim_admitted": f"SELECT id, queue, rn FROM (SELECT c.*, ROW_NUMBER() OVER (PARTITION BY queue, concurrency_key ORDER BY rn) AS k FROM ({CLAIM}) c) x WHERE concurrency_key = '' OR key_limit <= 0 OR running + k <= key_limit",
-    "label_routing": "SELECT labels, status, COUNT(*) AS n FROM {steps} WHERE labels IN ('', 'gpu') GROUP BY labels, status",
+    "label_routing": "SELECT labels, status, COUNT(*) AS n FROM {steps} WHERE labels IN ('', 'gpu') GROUP BY labels, status UNION ALL SELECT labels || ' on both', status, COUNT(*) AS n FROM {steps} WHERE labels IN ('', 'gpu', 'gpu,linux') GROUP BY labels, status",
     "sequence_heads": "SELECT sequence_key, MIN(seq) AS head, COUNT(*) AS waiting FROM {steps} WHERE sequence_key <> '' AND status IN ('QUEUED','RUNNING','BLOCKED','SUSPENDED') GROUP BY sequence_key",
     "sliding_window_violations": "SELECT id, queue, n FROM (SELECT id, queue, CAST(COUNT(*) OVER (PARTITION BY queue ORDER BY claimed_at RANGE BETWEEN 86400000000000 PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM {steps} WHERE claimed_at > 0) x WHERE n > 5",
     "seq_allocation": "SELECT id, 1000 + CAST(ROW_NUMBER() OVER (ORDER BY created_at, id) AS BIGINT) AS allotted FROM {runs} WHERE status = 'QUEUED' AND custkey % 5 = 0",
     "unique_resolution": f"SELECT id, workflow, ukey, CASE WHEN k = 1 THEN 'INSERT' ELSE 'REUSE' END AS action, owner FROM (SELECT id, workflow, custkey AS ukey, ROW_NUMBER() OVER (PARTITION BY workflow, custkey ORDER BY created_at, id) AS k, FIRST_VALUE(id) OVER (PARTITION BY workflow, custkey ORDER BY created_at, id) AS owner FROM {{runs}} WHERE status NOT IN {TERMINAL}) x",
     # transitions
     "ready_steps": "SELECT b.id FROM (SELECT s.id, s.run_id, x.dep FROM {steps} s <unnest>) b LEFT JOIN {steps} d ON d.run_id = b.run_id AND d.name = b.dep GROUP BY b.id HAVING MIN(CASE WHEN COALESCE(d.status, '') = 'SUCCEEDED' THEN 1 ELSE 0 END) = 1",
-    "final_fail_cancels": "SELECT s.id, s.status AS old_status, 'CANCELLED' AS new_status FROM {steps} s JOIN (SELECT DISTINCT run_id FROM {steps} WHERE status='FAILED') f ON f.run_id = s.run_id WHERE s.status IN ('QUEUED','RUNNING','BLOCKED','SUSPENDED')",
-    "cancel_run": f"SELECT s.id, s.status AS old_status, CASE WHEN s.status='RUNNING' THEN 'SIGNAL' ELSE 'CANCELLED' END AS action FROM {{steps}} s JOIN {{runs}} r ON r.id = s.run_id WHERE r.status NOT IN {TERMINAL} AND r.workflow = 'wf_4' AND s.status IN ('QUEUED','BLOCKED','SUSPENDED','RUNNING')",
+    "final_fail_cancels": "SELECT s.id, CASE WHEN s.status = 'RUNNING' AND s.attempts >= s.max_attempts THEN 'FAILED' ELSE 'CANCELLED' END AS status FROM {steps} s WHERE s.status IN ('QUEUED','RUNNING','BLOCKED','SUSPENDED') AND s.run_id IN (SELECT run_id FROM {steps} WHERE status = 'RUNNING' AND attempts >= max_attempts)",
+    "cancel_run": f"SELECT s.id, CASE WHEN s.status='RUNNING' THEN 'SIGNAL' ELSE 'CANCELLED' END AS action FROM {{steps}} s JOIN {{runs}} r ON r.id = s.run_id WHERE r.status NOT IN {TERMINAL} AND r.workflow = 'wf_4' AND s.status IN ('QUEUED','BLOCKED','SUSPENDED','RUNNING')",
     "pause_runs": f"SELECT r.id, COUNT(CASE WHEN s.status='RUNNING' THEN 1 END) AS requeued FROM {{runs}} r LEFT JOIN {{steps}} s ON s.run_id = r.id WHERE r.status NOT IN {TERMINAL} AND r.status <> 'PAUSED' AND r.workflow='wf_5' GROUP BY r.id",
     "resume_runs": f"SELECT s.id, CAST({NOW} AS BIGINT) AS run_at FROM {{steps}} s JOIN {{runs}} r ON r.id = s.run_id WHERE r.status='PAUSED' AND s.status='QUEUED'",
     "snooze_runs": f"SELECT r.id FROM {{runs}} r LEFT ANTI JOIN (SELECT run_id FROM {{steps}} WHERE status='RUNNING') s ON s.run_id = r.id WHERE r.status NOT IN {TERMINAL}",
-    "park_steps": "SELECT id, GREATEST(CAST(0 AS BIGINT), attempts - 1) AS attempts, CAST(0 AS BIGINT) AS claimed_at FROM {steps} WHERE status='RUNNING'",
+    "park_steps": f"SELECT id, GREATEST(CAST(0 AS BIGINT), attempts - 1) AS attempts, CAST(0 AS BIGINT) AS claimed_at, CAST({NOW} + 5000000000 AS BIGINT) AS run_at, 'QUEUED' AS status FROM {{steps}} WHERE status='RUNNING'",
     "dead_letter_retry": "SELECT s.id, CASE WHEN s.depends_on = '' THEN 'QUEUED' ELSE 'BLOCKED' END AS status, CAST(0 AS BIGINT) AS attempts FROM {steps} s JOIN {runs} r ON r.id = s.run_id WHERE r.status='FAILED' AND r.dead_lettered_at > 0",
     "purge_selection": f"SELECT r.id, r.completed_at FROM {{runs}} r LEFT ANTI JOIN (SELECT run_id FROM {{steps}} WHERE status='RUNNING') s ON s.run_id = r.id WHERE r.status IN {TERMINAL} AND r.completed_at > 0 AND r.completed_at < {NOW}",
-    "purge_counts": f"SELECT COUNT(*) AS steps, COUNT(DISTINCT s.run_id) AS runs FROM {{steps}} s JOIN (SELECT id FROM {{runs}} WHERE status IN {TERMINAL} AND completed_at > 0 AND completed_at < {NOW}) r ON r.id = s.run_id",
-    "expired_leases": f"SELECT s.id, s.worker_id, s.lease_expires_at FROM {{steps}} s JOIN {{runs}} r ON r.id = s.run_id WHERE s.status='RUNNING' AND s.lease_expires_at > 0 AND s.lease_expires_at < {NOW} AND r.status NOT IN {TERMINAL}",
+    "purge_counts": f"SELECT COUNT(*) AS steps, COUNT(DISTINCT s.run_id) AS runs FROM {{steps}} s JOIN (SELECT id FROM {{runs}} WHERE status IN {TERMINAL} AND completed_at > 0 AND completed_at < {NOW}) r ON r.id = s.run_id WHERE s.run_id NOT IN (SELECT run_id FROM {{steps}} WHERE status = 'RUNNING')",
+    "expired_leases": f"SELECT s.id, 'QUEUED' AS status, '' AS worker_id, CAST({NOW} AS BIGINT) AS run_at, s.attempts FROM {{steps}} s JOIN {{runs}} r ON r.id = s.run_id WHERE s.status='RUNNING' AND s.lease_expires_at > 0 AND s.lease_expires_at < {NOW} AND r.status NOT IN {TERMINAL}",
     "lease_heartbeat": f"SELECT id, CAST({NOW} + 30000000000 AS BIGINT) AS lease_expires_at FROM {{steps}} WHERE status='RUNNING' AND worker_id='w1'",
-    "interrupt_sweep": "SELECT r.id, CASE WHEN SUM(CASE WHEN s.status IN ('QUEUED','BLOCKED','SUSPENDED') THEN 1 ELSE 0 END) = 0 THEN 'INTERRUPTED' ELSE r.status END AS new_status FROM {runs} r JOIN {steps} s ON s.run_id = r.id WHERE r.id IN (SELECT run_id FROM {steps} WHERE status='RUNNING' AND worker_id='w2') GROUP BY r.id, r.status",
-    "recover_requeue": "SELECT id, 'QUEUED' AS status FROM {steps} WHERE status IN ('RUNNING','INTERRUPTED')",
-    "recover_fail": "SELECT id, 'FAILED' AS status, 'interrupted by restart' AS error FROM {runs} WHERE status IN ('RUNNING','INTERRUPTED')",
+    "interrupt_sweep": "SELECT r.id, 'INTERRUPTED' AS status FROM {runs} r WHERE r.status = 'RUNNING' AND r.id IN (SELECT run_id FROM {steps} WHERE status = 'RUNNING' AND worker_id = 'w2') AND r.id NOT IN (SELECT run_id FROM {steps} WHERE status IN ('QUEUED','BLOCKED','SUSPENDED') OR (status = 'RUNNING' AND worker_id <> 'w2'))",
+    "recover_requeue": "SELECT s.id, 'QUEUED' AS status FROM {steps} s JOIN {runs} r ON r.id = s.run_id WHERE s.status IN ('RUNNING','INTERRUPTED') AND r.status IN ('RUNNING','INTERRUPTED')",
+    "recover_fail": "SELECT id, 'FAILED' AS status FROM {runs} WHERE status IN ('RUNNING','INTERRUPTED')",
     # events and time
-    "deliver_event": f"SELECT w.step_id FROM {{waits}} w LEFT SEMI JOIN (SELECT s.id FROM {{steps}} s JOIN {{runs}} r ON r.id = s.run_id WHERE r.status NOT IN {TERMINAL}) x ON x.id = w.step_id WHERE w.event = 'click'",
+    "deliver_event": f"SELECT w.step_id FROM {{waits}} w JOIN {{steps}} s ON s.id = w.step_id JOIN {{runs}} r ON r.id = s.run_id WHERE w.event = 'click' AND w.registered <= {EVENT_AT} AND (w.deadline = 0 OR w.deadline > {EVENT_AT}) AND r.status NOT IN {TERMINAL}",
     "event_bindings": "SELECT s.task, e.seq FROM {emitted} e JOIN {subscriptions} s ON s.event = e.name",
     "wait_resolution": "SELECT w.step_id, MIN(e.created_at) AS delivered_at, CASE WHEN MIN(e.created_at) IS NOT NULL THEN 'DELIVERED' WHEN MAX(w.deadline) > 0 THEN 'TIMEOUT' ELSE 'WAITING' END AS outcome FROM {waits} w LEFT JOIN {emitted} e ON e.name = w.event AND e.created_at >= w.registered AND (w.deadline = 0 OR e.created_at < w.deadline) GROUP BY w.step_id",
-    "backoff_schedule": "SELECT id, attempts, CAST(LEAST(500000000 * POWER(2, attempts - 1), 30000000000) AS BIGINT) AS delay FROM {steps} WHERE status='RUNNING'",
+    "backoff_schedule": "SELECT id, attempts, CAST(CASE attempts WHEN 1 THEN 500000000 WHEN 2 THEN 1000000000 ELSE 2000000000 END AS BIGINT) AS delay FROM {steps} WHERE status='RUNNING'",
     # graphs
     "dag_edges": "SELECT s.run_id, x.dep AS src, s.name AS dst FROM {steps} s <unnest_all>",
     "group_expansion": "SELECT a.run_id, a.name AS step, b.name AS dep FROM {steps} a JOIN {steps} b ON a.run_id = b.run_id AND a.ord >= 2 AND b.ord < 2",
@@ -85,15 +87,19 @@ UNNEST = {
     "spark": {"<unnest_all>": "LATERAL VIEW EXPLODE(SPLIT(s.depends_on, ',')) x AS dep WHERE s.depends_on <> ''", "<unnest>": "LATERAL VIEW EXPLODE(SPLIT(s.depends_on, ',')) x AS dep WHERE s.status = 'BLOCKED' AND s.depends_on <> ''"},
     "duck": {"<unnest_all>": ", UNNEST(STRING_SPLIT(s.depends_on, ',')) x(dep) WHERE s.depends_on <> ''", "<unnest>": ", UNNEST(STRING_SPLIT(s.depends_on, ',')) x(dep) WHERE s.status = 'BLOCKED' AND s.depends_on <> ''"},
 }
-STRATEGIES = {
-    "newest": "created_at DESC, id DESC",
-    "in_progress": "CASE WHEN status = 'RUNNING' THEN 0 ELSE 1 END, created_at, id",
-    "except_newest": "created_at, id",
-    "except_oldest": "created_at DESC, id DESC",
+#: Of each customer's live (or queued) runs by age: n of them, places from the oldest (up) and from the newest (down); two may stay.
+VICTIMS = {
+    "newest": ("status NOT IN " + TERMINAL, "n > 2 AND down = 1"),
+    "in_progress": ("status NOT IN " + TERMINAL, "n > 2 AND (CASE WHEN status = 'RUNNING' THEN earlier ELSE busy + earlier END) < n - 2"),
+    "except_newest": ("status = 'QUEUED'", "down > 2"),
+    "except_oldest": ("status = 'QUEUED'", "up > 2"),
 }
-for _name, _order in STRATEGIES.items():
-    _only = "status = 'QUEUED'" if _name.startswith("except") else f"status NOT IN {TERMINAL}"
-    QUERIES[f"key_strategy_victims_{_name}"] = f"SELECT id, custkey FROM (SELECT id, custkey, ROW_NUMBER() OVER (PARTITION BY custkey ORDER BY {_order}) AS k, COUNT(*) OVER (PARTITION BY custkey) AS n FROM {{runs}} WHERE {_only}) x WHERE k <= n - 1"
+for _name, (_of, _hit) in VICTIMS.items():
+    QUERIES[f"key_strategy_victims_{_name}"] = f"""SELECT id, custkey FROM (SELECT id, custkey, status, COUNT(*) OVER (PARTITION BY custkey) AS n,
+ SUM(CASE WHEN status = 'RUNNING' THEN 1 ELSE 0 END) OVER (PARTITION BY custkey) AS busy,
+ COUNT(*) OVER (PARTITION BY custkey, CASE WHEN status = 'RUNNING' THEN 1 ELSE 0 END ORDER BY seq, created_at, id) - 1 AS earlier,
+ ROW_NUMBER() OVER (PARTITION BY custkey ORDER BY seq, created_at, id) AS up, ROW_NUMBER() OVER (PARTITION BY custkey ORDER BY seq DESC, created_at DESC, id DESC) AS down
+ FROM {{runs}} WHERE {_of}) x WHERE {_hit}"""
 
 
 def text_for(name: str, engine: str) -> str:
