@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from floeline.llm.flat import mix, prefix_hash, span_hash, text_slices, words
 from floeline.llm.graph import components, joined
-from floeline.llm.rows import digest, identified, of_texts
+from floeline.llm.rows import digest, identified, keyed, of_texts
 from floeline.llm.shared import BROADCAST_ROWS, Scratch, documents, fresh, release, settled, small, whole
 
 SHINGLE_WORDS = 5
@@ -271,15 +271,17 @@ def _cross_pairs(entries: DataFrame, threshold: float, lo: int, hi: int | None)
     return dealt.groupBy("bucket", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
 
 
-def _classes(rows: DataFrame, threshold: float) -> DataFrame:
-    """(id, class): every row (id, text) whose class is not its own id alone; ids are of distinct texts or repeated rows."""
+def _classes(rows: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
+    """(id, class): every row (id, text) whose class is not its own id alone; ids are of distinct texts or repeated rows.
+
+    ``keys``: their (id, sha).
+    """
     spark = rows.sparkSession
     release(spark)
     scratch = Scratch(spark, "near")
-    keys = rows.select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
-    # Equal texts are one node, the smallest id; few enough keys are taken out where the texts are read.
-    equal = settled(keys.groupBy("key").agg(F.min("id").alias("node"), F.max("id").alias("most")).filter("node != most").select("key", "node"))
-    copies = settled(keys.join(small(equal), "key").filter("id != node").select("id", "node"))
+    # Equal texts are one node, the smallest id; few enough copies are taken out where the texts are read.
+    equal = settled(keys.groupBy("sha").agg(F.min("id").alias("node"), F.max("id").alias("most")).filter("node != most").select("sha", "node"))
+    copies = settled(keys.join(small(equal), "sha").filter("id != node").select("id", "node"))
     once = rows.join(F.broadcast(copies.select("id")), "id", "left_anti") if copies.count() <= BROADCAST_ROWS else rows
     signed = scratch.written(_sign(once))
     # Beyond that, signatures are sorted out instead of texts.
@@ -319,15 +321,16 @@ def _classes(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def _verdicts(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(rows with an id, their classes, names of ids); see ``identified``."""
-    rows, names = identified(of_texts(docs, id_col, text_col).filter("id IS NOT NULL"))
-    return rows, settled(_classes(rows, threshold)), names
+    """(ids of the rows that have one, their classes, names of ids); see ``identified``."""
+    rows = of_texts(docs, id_col, text_col).filter("id IS NOT NULL")
+    rows, keys, names = identified(rows, keyed(rows))
+    return keys.select("id"), settled(_classes(rows, keys, threshold)), names
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (the smallest id of its class)."""
-    rows, classes, names = _verdicts(docs, threshold, id_col, text_col)
-    found = rows.select("id").join(small(classes), "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("class", "id").alias("class_id"))
+    ids, classes, names = _verdicts(docs, threshold, id_col, text_col)
+    found = ids.join(small(classes), "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("class", "id").alias("class_id"))
     if names is not None:
         back = lambda c: small(names.select(F.col("number").alias(c), F.col("id").alias(f"{c}_own")))
         found = found.join(back("doc_id"), "doc_id").join(back("class_id"), "class_id").select(F.col("doc_id_own").alias("doc_id"), F.col("class_id_own").alias("class_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floeline.llm.shared import settled, small, whole
+from floeline.llm.shared import settled, small, whole, written
 
 #: Numbered documents up to which their (id, digest, number) are broadcast (50 bytes each).
 BROADCAST_NAMES = 500_000
@@ -28,21 +28,26 @@ def numbered(keys: DataFrame, order: list[Column]) -> DataFrame:
     return ranged.join(F.broadcast(offsets), "part").withColumn("number", F.col("offset") + F.col("place")).drop("part", "place", "offset")
 
 
-def identified(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """((id, text) with an id of its own for each distinct (id, text), names) from rows (id, text) without null texts.
+def keyed(rows: DataFrame) -> DataFrame:
+    """(id, sha, n_bytes) of rows (id, text), written once; all that is asked of identities is read from here."""
+    return written(rows.select("id", digest("text").alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "text-keys")
+
+
+def identified(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(rows, keys, names) with an id of its own for each distinct (id, text); rows (id, text) have no null texts, ``keys`` are theirs.
 
     Where no id is null and none is shared by different texts, ids stay and ``names`` is None. Else
     documents are numbered in order of id (null first), then of their texts' digests, and ``names`` has
     the rows (number, id, sha); texts then move once unless names are few enough to be broadcast.
     """
-    keys = rows.select("id", digest("text").alias("sha"))
     odd = keys.groupBy("id").agg(F.min("sha").alias("lo"), F.max("sha").alias("hi")).filter("id IS NULL OR lo != hi")
     if odd.isEmpty():
-        return rows, None
-    names = settled(numbered(keys.distinct(), [F.col("id").asc_nulls_first(), F.col("sha").asc()]))
+        return rows, keys, None
+    names = settled(numbered(keys.select("id", "sha").distinct(), [F.col("id").asc_nulls_first(), F.col("sha").asc()]))
     right = small(names.select(F.col("id").alias("own"), F.col("sha").alias("of"), "number"), BROADCAST_NAMES)
-    named = rows.join(right, F.col("id").eqNullSafe(F.col("own")) & (digest("text") == F.col("of")))
-    return named.select(F.col("number").alias("id"), "text"), names
+    mine = F.col("id").eqNullSafe(F.col("own"))
+    named = rows.join(right, mine & (digest("text") == F.col("of"))).select(F.col("number").alias("id"), "text")
+    return named, settled(keys.join(right, mine & (F.col("sha") == F.col("of"))).select(F.col("number").alias("id"), "sha", "n_bytes")), names
 
 
 def of_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floeline.llm.flat import flat, mix, prefix_hash, rolling_hash, span_hash, text_slices
-from floeline.llm.rows import digest, identified, of_texts
-from floeline.llm.shared import BROADCAST_ROWS, documents, settled, small, written
+from floeline.llm.rows import identified, keyed, of_texts
+from floeline.llm.shared import BROADCAST_ROWS, documents, settled, small
 
 DEPTH = 100
 #: Bytes of an anchor string.
@@ -301,10 +301,9 @@ def _cut(batches):
         yield pa.record_batch([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, copies, spans): id, sha and n_bytes of all rows (id, text); ids that are copies of an earlier text;
+def repeated_spans(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(copies, spans) of rows (id, text) with keys (id, sha, n_bytes): ids that are copies of an earlier text;
     and (id, spans) of the other documents that hold a repeat."""
-    keys = written(rows.select("id", digest("text").alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "text-keys")
     long = keys.filter(F.col("n_bytes") >= DEPTH)
     first = settled(long.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("most")).filter("first != most").select("sha", "first"))
     copies = settled(long.join(small(first, GROUPS), "sha").filter("id != first").select("id").distinct())
@@ -315,13 +314,14 @@ def repeated_spans(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sent = texts.join(anchors, texts["id"] == anchors["doc"]).select("id", "text", "at", "often").mapInArrow(_send_windows, _RUN)
     runs = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_settle, "doc long, start long, stop long")
     spans = runs.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return keys, copies, settled(spans)
+    return copies, settled(spans)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows, names = identified(of_texts(docs, id_col, text_col))
-    keys, copies, spans = repeated_spans(rows)
+    rows = of_texts(docs, id_col, text_col)
+    rows, keys, names = identified(rows, keyed(rows))
+    copies, spans = repeated_spans(rows, keys)
     touched = _of_ids(spans.select("id"))
     cut = rows.join(touched, "id", "left_semi").join(spans, "id").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     rest = keys.join(touched, "id", "left_anti").join(small(copies.withColumn("copy", F.lit(True))), "id", "left")
