@@ -4,6 +4,12 @@ Language ID drops documents that it rejects; exact dedup keeps one of equal
 texts; near dedup keeps one of each class of near copies; mixing repeats or
 drops documents so that sources meet their target weights; BPE encodes what is
 left. All but the last return the columns of ``documents``.
+
+Defined cases, by stage: a null text, or one without a letter, has no language and goes with the first stage; of
+equal texts the largest id stays, a row without id only where none has one; near dedup keeps rows without id and
+one text of each class, the smallest id; mixing takes a document of any size up to three times, one without
+words once; repeated rows are one document to the dedup stages and documents of their own to the others. Very
+long texts go through whole. An empty table gives an empty result, and columns of any name stay.
 """
 
 from __future__ import annotations
