@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floeline.llm.shared import settled, small
+from floeline.llm.shared import release, settled, small
 
 
 def _edges(a: Column, b: Column, table: DataFrame, rows: int | None) -> DataFrame:
@@ -40,6 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
         ends = edges.join(to.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b")
         edges = _edges(F.col("x"), F.col("y"), ends, left)
         left = edges.count()
+        release(edges.sparkSession)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")) if label is None else label
 
 

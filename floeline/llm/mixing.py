@@ -121,6 +121,7 @@ def dual(histogram: DataFrame, goals: DataFrame, most: float = 3.0) -> DataFrame
             tilt = settled(tilt)
             if tilt.filter("NOT done").isEmpty():
                 return tilt
+            release(tilt.sparkSession)
 
 
 def _spread(cells: DataFrame, most: int) -> DataFrame:
