@@ -301,7 +301,7 @@ def _classes(rows: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
     most = rest.agg(F.max("n")).first()[0] or 0
     nodes = settled(rest.select(F.col("node").alias("id")).distinct())
     sketches = settled(signed.join(small(nodes), "id", "left_semi").withColumnRenamed("id", "node"))
-    fine = settled(_sign_finely(rows.join(small(nodes), "id", "left_semi")).dropDuplicates(["node"]))
+    sketches = settled(sketches.join(_sign_finely(rows.join(small(nodes), "id", "left_semi")).dropDuplicates(["node"]), "node"))
     lo, hi = 0, 1
     while lo + 1 < most:
         release(spark)
@@ -311,7 +311,7 @@ def _classes(rows: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
         now = settled(member.join(small(settled(mixed)), "bucket"))
         if now.isEmpty():
             break
-        pairs = settled(_cross_pairs(now.join(sketches, "node").join(fine, "node"), threshold, lo, hi).join(small(stars), ["a", "b"], "left_anti"))
+        pairs = settled(_cross_pairs(now.join(sketches, "node"), threshold, lo, hi).join(small(stars), ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             comps = joined(comps, settled(linked(verified(pairs, rows), threshold)))
         lo, hi = hi, hi * RANKS
