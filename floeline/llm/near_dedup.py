@@ -16,7 +16,7 @@ so buckets whose members are still in different components go through a second
 round: pairs of different components are compared in blocks, without those that
 the triangle inequality rules out (one minus the similarity is a metric) or whose
 registers agree far too seldom, and the rest is verified. It goes by closeness:
-each member's closest partner first, then windows of ranks that grow eightfold until
+each member's closest partner first, then bounds of ranks that grow eightfold until
 no bucket holds two components or all its pairs had their turn, so a group that hangs together
 through a few members does not verify all its pairs. Each class is a connected component
 of verified links.
@@ -57,7 +57,7 @@ ESTIMATE_SLACK, FINE_SLACK = 0.15, 0.06
 BLOCK = 1024
 #: Pairs of one document that a block of verification holds.
 STAR = 512
-#: The second round's windows of ranks are 0, 1 to 8, 8 to 64 and so on; links found in one spare the pairs of the next.
+#: The second round takes pairs of ranks below 1, then 8, 64 and so on; links found at one bound spare the pairs of the next.
 RANKS = 8
 
 
@@ -214,19 +214,24 @@ def linked(sims: DataFrame, threshold: float) -> DataFrame:
     return sims.filter(F.col("sim") >= threshold - ROUNDING).select("a", "b")
 
 
-def _cross_pairs(entries: DataFrame, threshold: float, lo: int, hi: int | None) -> DataFrame:
-    """(a, b): pairs of a bucket's members in different components that may be similar, by closeness.
+def _cross_pairs(entries: DataFrame, threshold: float, ranks: int) -> DataFrame:
+    """(a, b, bucket): pairs of a bucket's members in different components that may be similar, the closest first.
 
-    Rows: bucket, band, node, comp, bands, sketch, fine, dist (to the bucket's smallest member), n. A bucket is dealt to
-    pairs of blocks, so that no task sees more than two blocks' members at once. A pair's rank is its place
-    among the pairs of either member there, the most agreeing registers first; ranks lo to hi (None: all) are
-    given. Ranks do not depend on components, so windows that follow one another give each pair at most once.
+    Rows: bucket, band, node, comp, bands, sketch, fine, dist (to the bucket's smallest member), and of the bucket
+    major (its largest component), large (the members of it) and others (all other members). Members of the largest
+    component are never compared with each other: it and the others are cut into blocks apart, and a task gets a block
+    of others with another block of either kind, so no task sees more than two blocks' members at once. A pair's rank
+    is its place among the pairs of either member there (of the one that is not in the largest component, if the
+    other is), the most agreeing registers first; pairs of a rank below ``ranks`` are given, with a null bucket.
+    Rows with a bucket name its members (a and b are equal) that have pairs of further ranks.
     """
     agree = threshold - ESTIMATE_SLACK
-    blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
-    dealt = entries.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "dist", F.slice("bands", 1, F.col("band") + 1).alias("bands"), "sketch", "fine", "band")
+    cut = lambda c: F.ceil(F.col(c) / F.lit(float(BLOCK))).cast("int")
+    inside = F.col("comp") == F.col("major")
+    dealt = entries.withColumn("few", cut("others")).withColumn("many", cut("large"))
+    dealt = dealt.withColumn("own", F.when(inside, F.col("few") + F.pmod(F.xxhash64("node"), F.col("many"))).otherwise(F.pmod(F.xxhash64("node"), F.col("few"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "few", "node", "comp", "dist", F.slice("bands", 1, F.col("band") + 1).alias("bands"), "sketch", "fine", "band")
 
     def places(score: np.ndarray) -> np.ndarray:
         """The place of each column in its row, the largest score first."""
@@ -236,13 +241,13 @@ def _cross_pairs(entries: DataFrame, threshold: float, lo: int, hi: int | None)
         return out
 
     def pairs(table: pa.Table) -> pa.Table:
-        # By node: equal scores are ranked alike in every window.
+        # By node: equal scores are always ranked alike.
         table = table.sort_by("node")
         node, comp, dist, own = (table.column(c).to_numpy() for c in ("node", "comp", "dist", "own"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        i, j, few = (table.column(c)[0].as_py() for c in ("i", "j", "few"))
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         if comp.min() == comp.max() or not len(left) or not len(right):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "bucket")})
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
         fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), dtype=np.uint8).reshape(-1, FINE)
         band = table.column("band")[0].as_py()
@@ -258,17 +263,27 @@ def _cross_pairs(entries: DataFrame, threshold: float, lo: int, hi: int | None)
             total = total[go] + np.count_nonzero(fine[right[go]] == fine[x], axis=1)
             near = total >= (threshold - FINE_SLACK) * (REGISTERS + FINE)
             score[at, go[near]] = total[near]
-        rank = np.minimum(places(score), places(score.T).T)
-        take = (score >= 0) & (comp[left][:, None] != comp[right]) & (rank >= lo)
-        if hi is not None:
-            take &= rank < hi
+        rank = places(score)
+        if j < few:
+            rank = np.minimum(rank, places(score.T).T)
+        take = (score >= 0) & (comp[left][:, None] != comp[right])
         if i == j:
             take &= node[left][:, None] < node[right]
-        p, q = np.nonzero(take)
+        p, q = np.nonzero(take & (rank < ranks))
         x, y = node[left[p]], node[right[q]]
-        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
+        further = take & (rank >= ranks)
+        later = np.unique(np.concatenate([node[left[further.any(axis=1)]], node[right[further.any(axis=0)]]]))
+        a, b = np.concatenate([np.minimum(x, y), later]), np.concatenate([np.maximum(x, y), later])
+        none = np.arange(len(a)) < len(x)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "bucket": pa.array(np.full(len(a), table.column("bucket")[0].as_py()), pa.int64(), mask=none)})
 
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(pairs, "a long, b long, bucket long")
+
+
+def _mixed(member: DataFrame) -> DataFrame:
+    """(bucket, major, large, others) of the buckets whose members (bucket, node, comp) are in several components."""
+    sizes = member.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max(F.struct("count", "comp")).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("count").alias("all"))
+    return sizes.filter("lo != hi").select("bucket", F.col("top.comp").alias("major"), F.col("top.count").alias("large"), (F.col("all") - F.col("top.count")).alias("others"))
 
 
 def _classes(rows: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
@@ -287,7 +302,7 @@ def _classes(rows: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
     # Beyond that, signatures are sorted out instead of texts.
     signed = signed if once is not rows else scratch.written(signed.join(copies.select("id"), "id", "left_anti"))
     banded = signed.filter("bands IS NOT NULL").select(F.col("id").alias("node"), F.posexplode("bands").alias("band", "bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("node").alias("rep"), F.max("node").alias("most"), F.count("*").alias("n")).filter("rep != most").drop("most")
+    buckets = banded.groupBy("bucket").agg(F.min("node").alias("rep"), F.max("node").alias("most")).filter("rep != most").drop("most")
     entries = settled(banded.join(buckets, "bucket"))
     stars = settled(entries.filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())
     first = settled(verified(stars, rows))
@@ -297,24 +312,25 @@ def _classes(rows: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
     member = entries.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = settled(member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket"))
     rest = entries.join(small(mixed), "bucket").join(small(sims), ["rep", "node"], "left")
-    rest = settled(rest.select("bucket", "band", "node", "n", F.when(F.col("node") == F.col("rep"), 0.0).otherwise(1 - F.coalesce("sim", F.lit(0.0))).alias("dist")))
-    most = rest.agg(F.max("n")).first()[0] or 0
+    rest = settled(rest.select("bucket", "band", "node", F.when(F.col("node") == F.col("rep"), 0.0).otherwise(1 - F.coalesce("sim", F.lit(0.0))).alias("dist")))
     nodes = settled(rest.select(F.col("node").alias("id")).distinct())
     sketches = settled(signed.join(small(nodes), "id", "left_semi").withColumnRenamed("id", "node"))
     sketches = settled(sketches.join(_sign_finely(rows.join(small(nodes), "id", "left_semi")).dropDuplicates(["node"]), "node"))
-    lo, hi = 0, 1
-    while lo + 1 < most:
+    # Ranks follow the components, so all pairs below the next bound are asked for, but those verified before.
+    tried, ranks = stars, 1
+    while True:
         release(spark)
-        # A member of a bucket of n has n - 1 ranks.
-        member = rest.filter(F.col("n") > lo + 1).join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
-        now = settled(member.join(small(settled(mixed)), "bucket"))
+        member = rest.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        now = settled(member.join(small(settled(_mixed(member))), "bucket"))
         if now.isEmpty():
             break
-        pairs = settled(_cross_pairs(now.join(sketches, "node"), threshold, lo, hi).join(small(stars), ["a", "b"], "left_anti"))
+        found = settled(_cross_pairs(now.join(sketches, "node"), threshold, ranks))
+        pairs = settled(found.filter("bucket IS NULL").select("a", "b").distinct().join(small(tried), ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            comps = joined(comps, settled(linked(verified(pairs, rows), threshold)))
-        lo, hi = hi, hi * RANKS
+            comps, tried = joined(comps, settled(linked(verified(pairs, rows), threshold))), tried.union(pairs)
+        # Only members with pairs of further ranks go on.
+        further = settled(found.filter("bucket IS NOT NULL").select("bucket", F.col("a").alias("node")))
+        rest, ranks = settled(rest.join(small(further), ["bucket", "node"], "left_semi")), ranks * RANKS
     scratch.close()
     named = copies.join(small(comps), "node", "left").select("id", F.coalesce("comp", "node").alias("class"))
     return named.union(comps.select(F.col("node").alias("id"), F.col("comp").alias("class")))

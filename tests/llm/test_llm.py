@@ -158,9 +158,46 @@ def test_near_duplicates_at_the_threshold_exactly(spark):
 def test_pairs_whose_sketches_agree_in_an_earlier_band_than_their_keys(spark):
     sketch = bytes(2 * near_dedup.REGISTERS)
     keys = {1: list(range(32)), 2: [100 + k if k < 5 else k for k in range(32)]}
-    rows = [(b, b, n, n, keys[n], bytearray(sketch), bytearray(near_dedup.FINE), 0.1, 2) for b in range(5, 32) for n in keys]
-    entries = spark.createDataFrame(rows, "bucket long, band int, node long, comp long, bands array<long>, sketch binary, fine binary, dist double, n long")
-    assert [tuple(r) for r in near_dedup._cross_pairs(entries, 0.8, 0, None).collect()] == [(1, 2)]
+    rows = [(b, b, n, n, keys[n], bytearray(sketch), bytearray(near_dedup.FINE), 0.1, 2, 1, 1) for b in range(5, 32) for n in keys]
+    entries = spark.createDataFrame(rows, "bucket long, band int, node long, comp long, bands array<long>, sketch binary, fine binary, dist double, major long, large long, others long")
+    assert [tuple(r) for r in near_dedup._cross_pairs(entries, 0.8, 1).collect()] == [(1, 2, None)]
+
+
+@pytest.mark.parametrize("block, seed", [(1024, 0), (4, 1)])
+def test_a_group_far_from_its_smallest_member(spark, monkeypatch, block, seed):
+    """Members differ from the first text by a few words and from each other by more or less, so stars alone link few."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "RANKS", 2)
+    rng = np.random.default_rng(seed)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(0, " ".join(base))]
+    for family in range(6):
+        own = list(base)
+        for at in rng.choice(300, 14, replace=False):
+            own[at] = f"f{family}x{at}"
+        for member in range(8):
+            text = list(own)
+            for at in rng.choice(300, 3, replace=False):
+                text[at] = f"m{family}x{member}x{at}"
+            rows.append((1 + family * 8 + member, " ".join(text)))
+    bags = {i: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i in bags}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in bags:
+        for y in range(x):
+            # Hardly any shingle repeats, so the similarity is that of sets.
+            if len(bags[x].keys() & bags[y].keys()) >= 0.8 * len(bags[x].keys() | bags[y].keys()):
+                low, high = sorted((find(x), find(y)))
+                root[high] = low
+    want = {i: find(i) for i in bags}
+    assert 3 <= len(set(want.values())) < 30 and max(Counter(want.values()).values()) > 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == want
 
 
 def test_base_score_and_model_of_documents(docs):
