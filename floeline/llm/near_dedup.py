@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from floeline.llm.flat import mix, prefix_hash, span_hash, text_slices, words
 from floeline.llm.graph import components, joined
 from floeline.llm.rows import digest, identified, keyed, of_texts
-from floeline.llm.shared import BROADCAST_ROWS, Scratch, documents, fresh, release, settled, small, whole
+from floeline.llm.shared import BROADCAST_VALUES, Scratch, documents, fresh, gathered, light, release, settled, whole
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -176,23 +176,22 @@ def _sign_finely(rows: DataFrame) -> DataFrame:
     return rows.select("id", "text").mapInArrow(sign, "node long, fine binary")
 
 
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b, sim) of the distinct pairs (a, b), by the exact similarity of whole texts.
+def verified(pairs: DataFrame, many: int, rows: DataFrame) -> DataFrame:
+    """(a, b, sim) of the distinct pairs (a, b), settled, ``many`` in all, by the exact similarity of whole texts.
 
     The pairs of one ``a`` are dealt over blocks of ``STAR`` at most. A block gets the text of ``a`` once and
     that of each ``b``, ordered, and a task sees one after another, with the bag of ``a`` at hand.
     """
-    pairs = settled(pairs)
-    blocks = settled(pairs.groupBy("a").count().filter(F.col("count") > STAR).select("a", F.ceil(F.col("count") / F.lit(float(STAR))).cast("int").alias("blocks")))
-    dealt = pairs.join(small(blocks), "a", "left").select("a", "b", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("blocks"))).cast("int").alias("block"))
-    need = settled(dealt.select("a", "block", F.lit(1).alias("side"), F.col("b").alias("id")).union(dealt.select("a", "block", F.lit(0), "a").distinct()))
-    sent = rows.join(small(need), "id").select("a", "block", "side", "id", "text")
+    blocks = settled(pairs.groupBy("a").count().filter(F.col("count") > STAR).select("a", F.ceil(F.col("count") / F.lit(float(STAR))).cast("int").alias("blocks")), many)
+    dealt = pairs.join(light(blocks, many // STAR), "a", "left").select("a", "b", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("blocks"))).cast("int").alias("block"))
+    need = settled(dealt.select("a", "block", F.lit(1).alias("side"), F.col("b").alias("id")).union(dealt.select("a", "block", F.lit(0), "a").distinct()), 2 * many)
+    sent = rows.join(light(need), "id").select("a", "block", "side", "id", "text")
 
     def compare(batches):
-        at, bag = None, None
+        at, bag, last = None, None, None
         for batch in batches:
             a, block, side, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-            out = np.full(batch.num_rows, -1.0)
+            out, once = np.full(batch.num_rows, -1.0), side == 1
             for i, j, buf, off in text_slices(batch.column(4), 1 << 20):
                 value, owner, weight = shingles(buf, off)
                 edges = np.searchsorted(owner, np.arange(j - i + 1))
@@ -200,13 +199,15 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                     own = value[edges[k] : edges[k + 1]], weight[edges[k] : edges[k + 1]]
                     if not side[i + k]:
                         at, bag = (a[i + k], block[i + k]), (own[0].copy(), own[1].copy())
-                    elif at == (a[i + k], block[i + k]):
-                        out[i + k] = similarity(bag, own)
-            yield pa.record_batch([pa.array(a[side == 1]), pa.array(ids[side == 1]), pa.array(out[side == 1])], names=["a", "b", "sim"])
+                    elif last == (*at, ids[i + k]):
+                        # Repeated rows give a pair more than once.
+                        once[i + k] = False
+                    else:
+                        out[i + k], last = similarity(bag, own), (*at, ids[i + k])
+            yield pa.record_batch([pa.array(a[once]), pa.array(ids[once]), pa.array(out[once])], names=["a", "b", "sim"])
 
-    ordered = sent.repartition("a", "block").sortWithinPartitions("a", "block", "side")
-    # Repeated rows give a pair more than once.
-    return ordered.mapInArrow(compare, "a long, b long, sim double").dropDuplicates(["a", "b"])
+    ordered = sent.repartition("a", "block").sortWithinPartitions("a", "block", "side", "id")
+    return ordered.mapInArrow(compare, "a long, b long, sim double")
 
 
 def linked(sims: DataFrame, threshold: float) -> DataFrame:
@@ -295,44 +296,49 @@ def _classes(rows: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
     release(spark)
     scratch = Scratch(spark, "near")
     # Equal texts are one node, the smallest id; few enough copies are taken out where the texts are read.
-    equal = settled(keys.groupBy("sha").agg(F.min("id").alias("node"), F.max("id").alias("most")).filter("node != most").select("sha", "node"))
-    copies = settled(keys.join(small(equal), "sha").filter("id != node").select("id", "node"))
-    once = rows.join(F.broadcast(copies.select("id")), "id", "left_anti") if copies.count() <= BROADCAST_ROWS else rows
+    equal, many = gathered(keys.groupBy("sha").agg(F.min("id").alias("node"), F.max("id").alias("most")).filter("node != most").select("sha", "node"))
+    copies, many = gathered(keys.join(light(equal, many), "sha").filter("id != node").select("id", "node"))
+    once = rows.join(F.broadcast(copies.select("id")), "id", "left_anti") if 2 * many <= BROADCAST_VALUES else rows
     signed = scratch.written(_sign(once))
     # Beyond that, signatures are sorted out instead of texts.
     signed = signed if once is not rows else scratch.written(signed.join(copies.select("id"), "id", "left_anti"))
     banded = signed.filter("bands IS NOT NULL").select(F.col("id").alias("node"), F.posexplode("bands").alias("band", "bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("node").alias("rep"), F.max("node").alias("most")).filter("rep != most").drop("most")
     entries = settled(banded.join(buckets, "bucket"))
-    stars = settled(entries.filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())
-    first = settled(verified(stars, rows))
-    comps = components(linked(first, threshold))
+    stars, many = gathered(entries.filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())
+    first, _ = gathered(verified(stars, many, rows))
+    comps = components(linked(first, threshold), many)
     # Second round: the buckets that still hold several components, their closest pairs first.
     sims = first.select(F.col("a").alias("rep"), F.col("b").alias("node"), "sim")
-    member = entries.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = settled(member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket"))
-    rest = entries.join(small(mixed), "bucket").join(small(sims), ["rep", "node"], "left")
-    rest = settled(rest.select("bucket", "band", "node", F.when(F.col("node") == F.col("rep"), 0.0).otherwise(1 - F.coalesce("sim", F.lit(0.0))).alias("dist")))
-    nodes = settled(rest.select(F.col("node").alias("id")).distinct())
-    sketches = settled(signed.join(small(nodes), "id", "left_semi").withColumnRenamed("id", "node"))
-    sketches = settled(sketches.join(_sign_finely(rows.join(small(nodes), "id", "left_semi")).dropDuplicates(["node"]), "node"))
+    member = entries.join(light(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed, much = gathered(member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket"))
+    rest = entries.join(light(mixed, much), "bucket").join(light(sims, many), ["rep", "node"], "left")
+    rest, left = gathered(rest.select("bucket", "band", "node", F.when(F.col("node") == F.col("rep"), 0.0).otherwise(1 - F.coalesce("sim", F.lit(0.0))).alias("dist")))
+    # What this round needs of its documents is read from tables of theirs alone.
+    nodes = settled(rest.select(F.col("node").alias("id")).distinct(), left)
+    of_nodes = light(nodes)
+    texts = scratch.written(rows.join(of_nodes, "id", "left_semi"))
+    sketches = signed.join(of_nodes, "id", "left_semi").withColumnRenamed("id", "node")
+    sketches = settled(sketches.join(_sign_finely(texts).dropDuplicates(["node"]), "node"))
     # Ranks follow the components, so all pairs below the next bound are asked for, but those verified before.
     tried, ranks = stars, 1
     while True:
         release(spark)
-        member = rest.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        now = settled(member.join(small(settled(_mixed(member))), "bucket"))
-        if now.isEmpty():
+        member = rest.join(light(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        mixed = settled(_mixed(member), left)
+        if not (much := mixed.count()):
             break
-        found = settled(_cross_pairs(now.join(sketches, "node"), threshold, ranks))
-        pairs = settled(found.filter("bucket IS NULL").select("a", "b").distinct().join(small(tried), ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            comps, tried = joined(comps, settled(linked(verified(pairs, rows), threshold))), tried.union(pairs)
+        found, much = gathered(_cross_pairs(member.join(light(mixed, much), "bucket").join(sketches, "node"), threshold, ranks))
+        pairs = settled(found.filter("bucket IS NULL").select("a", "b").distinct().join(light(tried, many), ["a", "b"], "left_anti"), much)
+        if new := pairs.count():
+            links, _ = gathered(linked(verified(pairs, new, texts), threshold))
+            comps, tried, many = joined(comps, links, new), tried.union(pairs), many + new
         # Only members with pairs of further ranks go on.
-        further = settled(found.filter("bucket IS NOT NULL").select("bucket", F.col("a").alias("node")))
-        rest, ranks = settled(rest.join(small(further), ["bucket", "node"], "left_semi")), ranks * RANKS
+        further = found.filter("bucket IS NOT NULL").select("bucket", F.col("a").alias("node"))
+        rest, ranks = settled(rest.join(light(further), ["bucket", "node"], "left_semi"), left), ranks * RANKS
+        left = rest.count()
     scratch.close()
-    named = copies.join(small(comps), "node", "left").select("id", F.coalesce("comp", "node").alias("class"))
+    named = copies.join(light(comps), "node", "left").select("id", F.coalesce("comp", "node").alias("class"))
     return named.union(comps.select(F.col("node").alias("id"), F.col("comp").alias("class")))
 
 
@@ -340,15 +346,15 @@ def _verdicts(docs: DataFrame, threshold: float, id_col: str, text_col: str) ->
     """(ids of the rows that have one, their classes, names of ids); see ``identified``."""
     rows = of_texts(docs, id_col, text_col).filter("id IS NOT NULL")
     rows, keys, names = identified(rows, keyed(rows))
-    return keys.select("id"), settled(_classes(rows, keys, threshold)), names
+    return keys.select("id"), gathered(_classes(rows, keys, threshold))[0], names
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (the smallest id of its class)."""
     ids, classes, names = _verdicts(docs, threshold, id_col, text_col)
-    found = ids.join(small(classes), "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("class", "id").alias("class_id"))
+    found = ids.join(light(classes), "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("class", "id").alias("class_id"))
     if names is not None:
-        back = lambda c: small(names.select(F.col("number").alias(c), F.col("id").alias(f"{c}_own")))
+        back = lambda c: light(names.select(F.col("number").alias(c), F.col("id").alias(f"{c}_own")))
         found = found.join(back("doc_id"), "doc_id").join(back("class_id"), "class_id").select(F.col("doc_id_own").alias("doc_id"), F.col("class_id_own").alias("class_id"))
     nameless = docs.filter(F.col(id_col).cast("long").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
     return found.union(nameless)
@@ -360,9 +366,9 @@ def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone, (own, sha) = classes.filter("id != class").select("id"), fresh("id", "sha")
     same = docs[id_col].cast("long") == F.col(own)
     if names is None:
-        return docs.join(small(settled(gone.withColumnRenamed("id", own))), same, "left_anti")
+        return docs.join(light(settled(gone.withColumnRenamed("id", own))), same, "left_anti")
     gone = names.join(gone, names["number"] == gone["id"], "left_semi").select(F.col("id").alias(own), F.col("sha").alias(sha))
-    return docs.join(small(settled(gone)), same & (digest(whole(docs[text_col])) == F.col(sha)), "left_anti")
+    return docs.join(light(settled(gone)), same & (digest(whole(docs[text_col])) == F.col(sha)), "left_anti")
 
 
 def op6_near_dedup(spark, sf_dir) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 #: Rows of a few numbers that a task of a small intermediate table should hold at least.
 TASK_ROWS = 200_000
+#: Numbers (one more for each row) up to which a table is broadcast where an operator makes many: the driver holds each several times over.
+BROADCAST_VALUES = 1_500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +53,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def gathered(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows ``settled``, and their number; later reads take as many tasks as that many rows need."""
+    out = settled(df)
+    rows = out.count()
+    return out.coalesce(1 + rows // TASK_ROWS), rows
+
+
+def light(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """For the side of a join, as ``small``, by the numbers that its rows hold; ``rows``: their number or a bound of it, where known."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) * (1 + len(df.columns)) <= BROADCAST_VALUES else df
+
+
 def fresh(*names: str) -> list[str]:
     """Column names that no table has, so that columns of any name can stand beside them."""
     mark = uuid.uuid4().hex

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from floeline.llm import bpe, exact_dedup, hpy, langid, media, mixing, near_dedup, quality, substrings, toxicity
+from floeline.llm.shared import gathered, light
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, fp string"
 DATA = "/root/testdata/sf0.001"
@@ -163,6 +164,21 @@ def test_pairs_whose_sketches_agree_in_an_earlier_band_than_their_keys(spark):
     assert [tuple(r) for r in near_dedup._cross_pairs(entries, 0.8, 1).collect()] == [(1, 2, None)]
 
 
+def test_small_tables_take_few_tasks_and_wide_ones_no_broadcast(spark):
+    few, rows = gathered(spark.range(10, numPartitions=64))
+    assert (few.rdd.getNumPartitions(), rows, few.count()) == (1, 10, 10)
+    wide = spark.range(400_000).selectExpr("id AS a", "id AS block", "1 AS side", "id")
+    assert light(wide) is wide and light(wide.select("id"), 400_000)._jdf.queryExecution().analyzed().toString().startswith("ResolvedHint")
+
+
+def test_repeated_rows_give_a_pair_once(spark):
+    texts = {k: " ".join(f"w{n}" for n in range(40) if n != k) for k in (1, 38, 39)}
+    rows = spark.createDataFrame([*texts.items()] * 3, "id long, text string")
+    pairs = spark.createDataFrame([(1, 38), (1, 39), (38, 39)], "a long, b long")
+    found = near_dedup.verified(pairs, 3, rows).collect()
+    assert sorted((r.a, r.b) for r in found) == [(1, 38), (1, 39), (38, 39)] and all(0 < r.sim < 1 for r in found)
+
+
 @pytest.mark.parametrize("block, seed", [(1024, 0), (4, 1)])
 def test_a_group_far_from_its_smallest_member(spark, monkeypatch, block, seed):
     """Members differ from the first text by a few words and from each other by more or less, so stars alone link few."""
