@@ -7,11 +7,12 @@ seat it again by the restaurant's conditional, with table sizes and the number o
 then are. Tables of the context restaurants are the customers of the parent, whose counts follow
 after each sweep. Predictive probabilities are averaged over several sweeps.
 
-The ``WORDS`` most frequent words have context restaurants of their own; all other words
-share ``POOLS`` restaurants by hash. What grows with the corpus are the dishes: the
+Every context has a restaurant of its own. Totals of those of the ``WORDS`` most frequent words (the
+dictionary) go to every task; those of all others (rare ones, named by the context's hash) are added up
+after the second pass and sent to the buckets that hold their cells. The
 counts of (context, word) cover every training token, are packed in blocks and
 dealt by word, so that a word's customers meet in one task. Words of the
-dictionary are dealt by (word, context), and the few cells that hold more than
+dictionary are dealt by (word, context), after a rare context by the context alone, and the few cells that hold more than
 1 / HOT_SHARE of all tokens are broadcast with the mean of their seatings (at most
 HOT_SHARE of them, or one for each eighth of a bucket's tokens) and scored where the text is.
 Totals of the context restaurants and of dictionary words in the parent come from the first
@@ -27,7 +28,7 @@ documents of their own, with a row each; other columns are not read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,12 @@ from pyspark.sql import functions as F
 from floeline.llm.flat import lower_ascii, mix, prefix_hash, span_hash, text_slices, words
 from floeline.llm.shared import documents, release, remainder, settled
 
-WORDS, POOLS, HOT_SHARE = 16384, 4096, 100_000
-START = WORDS + POOLS
+WORDS, HOT_SHARE = 16384, 100_000
+#: Restaurants whose totals every task has: of dictionary words, and of a document's start.
+START = WORDS
 RESTAURANTS = START + 1
+#: How a block writes that a rare context's hash is listed beside.
+RARE = 65535
 #: The end token's hash, by rule.
 END = np.uint64(0x5EED0000000000E1)
 #: Strength and discount of the context restaurants, strength of the parent.
@@ -206,10 +210,45 @@ def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _rooms(counts: Counts, before: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        pool = WORDS + (mix(before, 29) % np.uint64(POOLS)).astype(np.int64)
+    """The restaurant of each context: its place in the dictionary, START, or for all others the hash as a negative number."""
     at = counts.find(before)
-    return np.where(before == 0, START, np.where(at >= 0, at, pool))
+    return np.where(before == 0, START, np.where(at >= 0, at, (before | np.uint64(1 << 63)).view(np.int64)))
+
+
+def _coded(room: np.ndarray) -> tuple[bytes, bytes]:
+    """(hashes of the rare ones, 16 bits of each)."""
+    rare = room < 0
+    return room[rare].tobytes(), np.where(rare, RARE, room).astype(np.uint16).tobytes()
+
+
+def _decoded(rare: np.ndarray, code: np.ndarray) -> np.ndarray:
+    room = code.astype(np.int64)
+    room[code == RARE] = rare
+    return room
+
+
+def _totals_packed(head: int, room: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> bytes:
+    return np.array([head, len(room)], dtype=np.int64).tobytes() + pa.compress(room.tobytes() + customers.astype(np.uint32).tobytes() + tables.astype(np.uint32).tobytes(), codec="zstd", asbytes=True)
+
+
+def _totals_of(blob: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(head, rare contexts in order, customers, tables)."""
+    head, n = map(int, np.frombuffer(blob, np.int64, 2))
+    body = pa.decompress(blob[16:], decompressed_size=16 * n, codec="zstd", asbytes=True)
+    return head, np.frombuffer(body, np.int64, n), np.frombuffer(body, np.uint32, n, 8 * n), np.frombuffer(body, np.uint32, n, 12 * n)
+
+
+def rare_totals(parts: DataFrame) -> DataFrame:
+    """(bucket, packed): for each bucket the totals of the rare contexts that it holds, of all buckets' sums (key, packed)."""
+
+    def add(table: pa.Table) -> pa.Table:
+        got = [_totals_of(b) for b in table.column("packed").to_pylist()]
+        room, place = np.unique(np.concatenate([g[1] for g in got]), return_inverse=True)
+        customers, tables = (np.bincount(place, weights=np.concatenate([g[k] for g in got])) for k in (2, 3))
+        spots = np.split(place, np.cumsum([len(g[1]) for g in got])[:-1])
+        return pa.table({"bucket": pa.array([g[0] for g in got], pa.int64()), "packed": pa.array([_totals_packed(0, g[1], customers[at], tables[at]) for g, at in zip(got, spots, strict=True)], pa.binary())})
+
+    return parts.groupBy("key").applyInArrow(add, "bucket long, packed binary")
 
 
 def _flushes(batches, keep_all: bool):
@@ -281,9 +320,9 @@ def count_words(rows: DataFrame, buckets: int) -> Counts:
 
 
 def _bucket_of(counts: Counts, h: np.ndarray, at: np.ndarray, room: np.ndarray, buckets: int) -> np.ndarray:
-    """By word; for dictionary words by word and context."""
+    """By word; for dictionary words by word and context, or by the context if that is rare."""
     with np.errstate(over="ignore"):
-        key = np.where(at >= 0, mix(h + room.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 31), mix(h, 31))
+        key = np.where(at >= 0, np.where(room < 0, mix(room.view(np.uint64), 37), mix(h + room.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 31)), mix(h, 31))
     return (key % np.uint64(buckets)).astype(np.int64)
 
 
@@ -295,14 +334,13 @@ def _cells(word: np.ndarray, room: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     return order, first, w[first], r[first]
 
 
-def _own_guests(counts: Counts, word: np.ndarray, room: np.ndarray, customers: np.ndarray, rng: np.random.Generator):
-    """First seating of cells, and the parent's customers and tables of each word that is not in the dictionary."""
+def _own_guests(counts: Counts, word: np.ndarray, rooms: np.ndarray, customers: np.ndarray, rng: np.random.Generator):
+    """First seating of cells, given the customers of each one's restaurant, and the parent's customers and tables of each word that is not in the dictionary."""
     at = counts.find(word)
     starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     spread = np.diff(np.append(starts, len(word)))
     own = np.repeat(np.add.reduceat(customers, starts), spread)
     total = np.where(at >= 0, counts.counts[np.maximum(at, 0)] if len(counts.counts) else 0, own)
-    rooms = np.where(room < WORDS, counts.counts[np.minimum(room, max(0, len(counts.counts) - 1))] if len(counts.counts) else 0, counts.tokens / (2 * POOLS))
     tables = seat(customers, (THETA + DISCOUNT * np.maximum(rooms, 1) ** 0.8) * counts.unigram(total), DISCOUNT, rng)
     guests = np.add.reduceat(tables, starts)
     upper = seat(guests.astype(np.int64), np.full(len(starts), (THETA_0 + counts.discount_0 * counts.distinct) / (counts.distinct + 1)), counts.discount_0, rng)
@@ -325,26 +363,35 @@ def hot_from(tokens: int) -> int:
     return max(50, min(tokens // HOT_SHARE, BUCKET_TOKENS // 8))
 
 
-def seat_all(rows: DataFrame, counts: Counts, buckets: int) -> Counts:
-    """Second pass: all cells' customers, their first seating, and the totals of all restaurants."""
+def seated(rows: DataFrame, counts: Counts, buckets: int) -> tuple[Counts, DataFrame]:
+    """Second pass: all cells' customers, their first seating, and the totals of all restaurants.
+
+    Those of rare contexts come as a table, see ``rare_totals``; held-out documents' cells of them are sent
+    too, without customers, so that the third pass finds them where it needs them.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(counts)
     limit = hot_from(counts.tokens)
 
     def send(batches):
         k = shared.value
-        for _, _, h, before, _ in _flushes(batches, False):
-            room = _rooms(k, before)
+        for _, out, h, before, doc in _flushes(batches, True):
+            room, train = _rooms(k, before), ~out[doc]
+            need = train | (room < 0)
+            h, room, train = h[need], room[need], train[need]
+            if not len(h):
+                continue
             order, first, w, r = _cells(h, room, None)
-            n = np.diff(np.append(first, len(h))).astype(np.uint32)
+            n = np.add.reduceat(train[order].astype(np.uint32), first)
             bucket = _bucket_of(k, w, k.find(w), r, buckets)
             order = np.argsort(bucket, kind="stable")
-            w, r, n, bucket = w[order], r[order].astype(np.uint16), n[order], bucket[order]
+            w, r, n, bucket = w[order], r[order], n[order].astype(np.uint32), bucket[order]
 
             def pack(i, j, w=w, r=r, n=n):
                 new = np.flatnonzero(np.concatenate([[True], w[i + 1 : j] != w[i : j - 1]]))
-                size = np.diff(np.append(new, j - i)).astype(np.uint16) if RESTAURANTS < 65536 else None
-                head = np.array([len(new), j - i], dtype=np.int64)
-                return head.tobytes() + pa.compress(w[i:j][new].tobytes() + size.tobytes() + r[i:j].tobytes() + n[i:j].tobytes(), codec="zstd", asbytes=True)
+                size = np.diff(np.append(new, j - i)).astype(np.uint32)
+                rare, code = _coded(r[i:j])
+                head = np.array([len(new), len(rare) // 8, j - i], dtype=np.int64)
+                return head.tobytes() + pa.compress(w[i:j][new].tobytes() + rare + size.tobytes() + n[i:j].tobytes() + code, codec="zstd", asbytes=True)
 
             yield _split(bucket, pack)
 
@@ -352,26 +399,44 @@ def seat_all(rows: DataFrame, counts: Counts, buckets: int) -> Counts:
         k = shared.value
         parts = []
         for b in table.column("packed").to_pylist():
-            u, m = map(int, np.frombuffer(b, np.int64, 2))
-            body = pa.decompress(b[16:], decompressed_size=10 * u + 6 * m, codec="zstd", asbytes=True)
-            size = np.frombuffer(body, np.uint16, u, 8 * u)
-            parts.append((np.repeat(np.frombuffer(body, np.uint64, u), size), np.frombuffer(body, np.uint16, m, 10 * u).astype(np.int64), np.frombuffer(body, np.uint32, m, 10 * u + 2 * m)))
+            u, q, m = map(int, np.frombuffer(b, np.int64, 3))
+            body, at = pa.decompress(b[24:], decompressed_size=12 * u + 8 * q + 6 * m, codec="zstd", asbytes=True), 8 * (u + q)
+            size = np.frombuffer(body, np.uint32, u, at)
+            room = _decoded(np.frombuffer(body, np.int64, q, 8 * u), np.frombuffer(body, np.uint16, m, at + 4 * u + 4 * m))
+            parts.append((np.repeat(np.frombuffer(body, np.uint64, u), size), room, np.frombuffer(body, np.uint32, m, at + 4 * u)))
         word, room, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
         order, first, word, room = _cells(word, room, n)
         customers = np.add.reduceat(n[order].astype(np.int64), first)
-        at, starts, _, _, tables, guests, upper = _own_guests(k, word, room, customers, np.random.default_rng(table.column("bucket")[0].as_py()))
-        # kind 0: a restaurant's sums; 1: a dictionary word's guests; 2: guests and tables of all other words; 3: a hot cell.
-        out = [(0, r, float(c), float(t)) for r, c, t in zip(np.arange(RESTAURANTS), np.bincount(room, weights=customers, minlength=RESTAURANTS), np.bincount(room, weights=tables, minlength=RESTAURANTS), strict=True) if c]
+        bucket, listed = table.column("bucket")[0].as_py(), room >= 0
+        rare, place = np.unique(room[~listed], return_inverse=True)
+        met = np.bincount(place, weights=customers[~listed], minlength=len(rare))
+        # A dictionary word's restaurant has a customer for each time that the word occurs, a document's start for each end; of a rare one, those in the bucket.
+        known = np.append(k.counts[: len(k.words)], np.zeros(RESTAURANTS - len(k.words)))
+        known[START] = k.counts[k.find(np.array([END]))[0]] if len(k.words) else 0
+        rooms = known[np.maximum(room, 0)]
+        rooms[~listed] = met[place]
+        at, starts, _, _, tables, guests, upper = _own_guests(k, word, rooms, customers, np.random.default_rng(bucket))
+        # kind 0: a restaurant's sums; 1: a dictionary word's guests; 2: guests and tables of all other words; 3: a hot cell; 4: sums of rare restaurants.
+        sums = (np.bincount(room[listed], weights=x[listed], minlength=RESTAURANTS) for x in (customers, tables))
+        out = [(0, r, float(c), float(t)) for r, c, t in zip(np.arange(RESTAURANTS), *sums, strict=True) if c]
         known = at[starts]
         out += [(1, int(a), float(g), 0.0) for a, g in zip(known[known >= 0], guests[known >= 0], strict=True)]
         out.append((2, 0, float(guests[known < 0].sum()), float(upper[known < 0].sum())))
-        hot = np.flatnonzero((customers >= limit) & (at >= 0))
+        hot = np.flatnonzero((customers >= limit) & (at >= 0) & listed)
         out += [(3, int(at[i]) << 20 | int(room[i]), float(customers[i]), 0.0) for i in hot]
-        return pa.table({"kind": pa.array([x[0] for x in out], pa.int32()), "key": pa.array([int(x[1]) for x in out], pa.int64()), "a": pa.array([x[2] for x in out], pa.float64()), "b": pa.array([x[3] for x in out], pa.float64())})
-
-    made = rows.mapInArrow(send, "bucket long, packed binary").groupBy("bucket").applyInArrow(merge, "kind int, key long, a double, b double")
+        blobs = [None] * len(out)
+        spent = np.bincount(place, weights=tables[~listed], minlength=len(rare))
+        owner = (mix(rare.view(np.uint64), 41) % np.uint64(owners)).astype(np.int64)
+        for who in np.unique(owner):
+            mine = owner == who
+            out.append((4, int(who), 0.0, 0.0))
+            blobs.append(_totals_packed(bucket, rare[mine], met[mine], spent[mine]))
+        return pa.table({"kind": pa.array([x[0] for x in out], pa.int32()), "key": pa.array([int(x[1]) for x in out], pa.int64()), "a": pa.array([x[2] for x in out], pa.float64()), "b": pa.array([x[3] for x in out], pa.float64()), "packed": pa.array(blobs, pa.binary())})
+
+    owners = 1 + buckets // 8
+    made = settled(rows.mapInArrow(send, "bucket long, packed binary").groupBy("bucket").applyInArrow(merge, "kind int, key long, a double, b double, packed binary"))
     # At most RESTAURANTS + WORDS + 1 + HOT_SHARE rows.
-    got = made.groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
+    got = made.filter("kind < 4").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
     counts.room_customers, counts.room_tables = np.zeros(RESTAURANTS), np.zeros(RESTAURANTS)
     counts.guests = np.zeros(len(counts.words))
     hot = []
@@ -393,14 +458,19 @@ def seat_all(rows: DataFrame, counts: Counts, buckets: int) -> Counts:
         counts.hot_keys, counts.hot_customers = np.array([x[0] for x in hot], dtype=np.int64), np.array([x[1] for x in hot])
         counts.hot_tables = hot_seatings(counts)
     shared.unpersist()
-    return counts
+    return counts, rare_totals(made.filter("kind = 4").select("key", "packed"))
+
+
+def seat_all(rows: DataFrame, counts: Counts, buckets: int) -> Counts:
+    """``seated`` without the rare contexts' totals."""
+    return seated(rows, counts, buckets)[0]
 
 
 _PART = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double"
 _TABLE = (np.int64, np.uint8, np.int64, np.int64, np.float64, np.float64)
 
 
-def score_all(rows: DataFrame, counts: Counts, buckets: int) -> DataFrame:
+def score_all(rows: DataFrame, counts: Counts, rare: DataFrame, buckets: int) -> DataFrame:
     """Third pass: (doc_id, held_out, n_tokens, n_known, base, model).
 
     A part's documents are numbered; buckets get the numbers only and send back one packed
@@ -439,7 +509,7 @@ def score_all(rows: DataFrame, counts: Counts, buckets: int) -> DataFrame:
             h, room, at, doc = h[rest], room[rest], at[rest], doc[rest]
             bucket = _bucket_of(k, h, at, room, buckets)
             order = np.lexsort((doc, room, h, at < 0, bucket))
-            h, at, room, doc, bucket = h[order], at[order], room[order].astype(np.uint16), doc[order].astype(np.uint32), bucket[order]
+            h, at, room, doc, bucket = h[order], at[order], room[order], doc[order].astype(np.uint32), bucket[order]
 
             def pack(i, j, h=h, at=at, room=room, doc=doc, docs=docs, part=part, cut=cut):
                 # Dictionary words by their place in it, the others by hash and number of tokens.
@@ -447,7 +517,8 @@ def score_all(rows: DataFrame, counts: Counts, buckets: int) -> DataFrame:
                 new = np.flatnonzero(np.concatenate([[True], h[mid + 1 : j] != h[mid : j - 1]])) if mid < j else np.zeros(0, dtype=np.int64)
                 size = np.diff(np.append(new, j - mid)).astype(np.uint32)
                 small = doc[i:j].astype(np.uint16) if docs < 65536 else doc[i:j]
-                body = h[mid:j][new].tobytes() + size.tobytes() + at[i:mid].astype(np.uint16).tobytes() + room[i:j].tobytes() + small.tobytes()
+                rare, code = _coded(room[i:j])
+                body = h[mid:j][new].tobytes() + size.tobytes() + at[i:mid].astype(np.uint16).tobytes() + code + small.tobytes() + rare
                 return np.array([part, docs, cut, mid - i, len(new), j - i, len(body)], dtype=np.int64).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
 
             yield _split(bucket, pack)
@@ -456,26 +527,36 @@ def score_all(rows: DataFrame, counts: Counts, buckets: int) -> DataFrame:
         k, bucket = shared.value, table.column("bucket")[0].as_py()
         if bucket < 0:
             return pa.table({"part": pa.array([-bucket]), "bucket": pa.array([bucket]), "packed": table.column("packed")})
-        words_, rooms_, docs_, train_, parts = [], [], [], [], []
+        words_, rooms_, docs_, train_, parts, totals = [], [], [], [], [], []
         for b in sorted(table.column("packed").to_pylist()):
+            if not np.frombuffer(b, np.int64, 1)[0]:
+                totals.append(_totals_of(b)[1:])
+                continue
             part, d, cut, listed, u, m, size = map(int, np.frombuffer(b, np.int64, 7))
             body = pa.decompress(b[56:], decompressed_size=size, codec="zstd", asbytes=True)
             at = 0
             words_.append(k.words[np.frombuffer(body, np.uint16, listed, at + 12 * u)])
             words_.append(np.repeat(np.frombuffer(body, np.uint64, u, at), np.frombuffer(body, np.uint32, u, at + 8 * u)))
             at += 12 * u + 2 * listed
-            rooms_.append(np.frombuffer(body, np.uint16, m, at))
-            doc = np.frombuffer(body, np.uint16 if d < 65536 else np.uint32, m, at + 2 * m).astype(np.int64)
+            width = 2 if d < 65536 else 4
+            doc = np.frombuffer(body, np.uint16 if width == 2 else np.uint32, m, at + 2 * m).astype(np.int64)
+            rooms_.append(_decoded(np.frombuffer(body, np.int64, offset=at + (2 + width) * m) if len(body) > at + (2 + width) * m else np.zeros(0, dtype=np.int64), np.frombuffer(body, np.uint16, m, at)))
             train_.append(doc < cut)
             docs_.append(doc | len(parts) << 32)
             parts.append(part)
-        word, room, doc, train = np.concatenate(words_), np.concatenate(rooms_).astype(np.int64), np.concatenate(docs_), np.concatenate(train_)
+        word, room, doc, train = np.concatenate(words_), np.concatenate(rooms_), np.concatenate(docs_), np.concatenate(train_)
         order, first, word, room = _cells(word, room, None)
         # From here on a document is its place among those that the bucket meets.
         met, doc = np.unique(doc[order], return_inverse=True)
         customers = np.add.reduceat(train[order].astype(np.int64), first)
         rng = np.random.default_rng(bucket)
-        at, starts, spread, own, tables, guests, upper = _own_guests(k, word, room, customers, rng)
+        if totals:
+            # Rare restaurants come after the others, in order; every one of the bucket's is among them.
+            names, had, spent = (np.concatenate([t[i] for t in totals]) for i in range(3))
+            order, rare = np.argsort(names), room < 0
+            room[rare] = RESTAURANTS + np.searchsorted(names[order], room[rare])
+            k = replace(k, room_customers=np.append(k.room_customers, had[order]), room_tables=np.append(k.room_tables, spent[order]))
+        at, starts, spread, own, tables, guests, upper = _own_guests(k, word, k.room_customers[room], customers, rng)
         listed = at >= 0
         here, there = np.maximum(at, 0), np.flatnonzero(at[starts] < 0)
         seating, chance = Seating(customers, tables), np.zeros(len(word))
@@ -521,7 +602,7 @@ def score_all(rows: DataFrame, counts: Counts, buckets: int) -> DataFrame:
             known[also] += np.frombuffer(b, np.uint32, m, 8 * m)
         return pa.table({"doc_id": pa.array(ids), "held_out": pa.array(out.astype(bool)), "n_tokens": pa.array(tokens), "n_known": pa.array(known), "base": pa.array(base), "model": pa.array(model)})
 
-    sums = rows.mapInArrow(send, "bucket long, packed binary").groupBy("bucket").applyInArrow(solve, "part long, bucket long, packed binary")
+    sums = rows.mapInArrow(send, "bucket long, packed binary").union(rare).groupBy("bucket").applyInArrow(solve, "part long, bucket long, packed binary")
     return sums.groupBy("part").applyInArrow(add_up, _PART)
 
 
@@ -531,9 +612,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(8, int(size / 6 / BUCKET_TOKENS) + 1)
     counts = count_words(rows, buckets)
-    counts = seat_all(rows, counts, buckets)
+    counts, rare = seated(rows, counts, buckets)
     release(rows.sparkSession)  # the shuffle files of the first two passes
-    scored = score_all(rows, counts, buckets)
+    scored = score_all(rows, counts, rare, buckets)
     return scored.select(F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"))
 
 

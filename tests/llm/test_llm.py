@@ -279,6 +279,29 @@ def test_frequent_cells_are_seated_several_times(spark, docs, monkeypatch):
     assert math.isclose(several.sum(), many.sum(), rel_tol=0.1)
 
 
+def test_rare_contexts_have_restaurants_of_their_own(docs, monkeypatch):
+    words = hpy._tokens(np.frombuffer(b" ".join(b"w%d" % k for k in range(9000)), dtype=np.uint8), np.array([0, len(b" ".join(b"w%d" % k for k in range(9000)))]))[0][:-1]
+    assert len(np.unique(hpy._rooms(hpy.Counts(), words))) == len(words) > 8000
+    # With a dictionary of eight words nearly all contexts are rare: their totals are those of the whole table, in each bucket that holds them.
+    monkeypatch.setattr(hpy, "WORDS", 8)
+    rows = docs.select(F.col("doc_id").alias("id"), (hpy.remainder("doc_id", 10) == 0).alias("held_out"), "text")
+    counts, rare = hpy.seated(rows, hpy.count_words(rows, 8), 8)
+    texts = [hpy._tokens(np.frombuffer((r.text or "").encode(), dtype=np.uint8), np.array([0, len((r.text or "").encode())]))[:2] for r in rows.filter("not held_out").collect()]
+    follows = Counter(int(x) for _, before in texts for x in (before | np.uint64(1 << 63)).view(np.int64)[1:])
+    for w in counts.words:
+        follows.pop(int((w | np.uint64(1 << 63)).view(np.int64)), None)
+    seen, cells = {}, Counter()
+    for r in rare.collect():
+        _, room, customers, tables = hpy._totals_of(r.packed)
+        for u, c, t in zip(room.tolist(), customers.tolist(), tables.tolist()):
+            assert seen.setdefault(u, (c, t)) == (c, t) and (c > 0) == (t > 0) and t <= c
+            cells[u] += 1
+    assert {u: c for u, (c, _) in seen.items() if c} == follows and max(cells.values()) > 1
+    scored = hpy.score_documents(docs).collect()
+    assert all(math.isfinite(r.score) and r.score < 0 for r in scored)
+    assert sum(r.score for r in scored if r.held_out) > sum(r.base_score for r in scored if r.held_out)
+
+
 def test_media_reads_back(docs):
     texts = {r.doc_id: (r.text or "").encode() for r in docs.select("doc_id", "text").collect()}
     for r in media.media(docs).collect():
