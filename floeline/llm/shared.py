@@ -43,9 +43,15 @@ def settled(df: DataFrame, rows: int | None = None) -> DataFrame:
     """The rows, computed once and kept in the shared folder; later reads survive lost executors.
 
     ``rows``: a bound of their number, where one is known; a small table then gets few tasks and files.
+    The table's size counts as unknown: Spark's own estimate is the product of what was joined, which a checkpoint
+    keeps, so that after some rounds of joins it has as many digits as fill the driver's heap.
     """
     shared_dir(df.sparkSession)
-    return (df if rows is None else df.coalesce(1 + rows // TASK_ROWS)).checkpoint(eager=True)
+    out = (df if rows is None else df.coalesce(1 + rows // TASK_ROWS)).checkpoint(eager=True)
+    jvm, session, plan = df.sparkSession._jvm, df.sparkSession._jsparkSession, out._jdf.queryExecution().analyzed()
+    none = jvm.scala.Option.empty()
+    plan = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), False, none, session, none, none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, plan), df.sparkSession)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

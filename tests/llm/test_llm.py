@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from floeline.llm import bpe, exact_dedup, hpy, langid, media, mixing, near_dedup, quality, substrings, toxicity
-from floeline.llm.shared import gathered, light
+from floeline.llm.shared import gathered, light, settled
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, fp string"
 DATA = "/root/testdata/sf0.001"
@@ -171,6 +171,15 @@ def test_small_tables_take_few_tasks_and_wide_ones_no_broadcast(spark):
     assert light(wide) is wide and light(wide.select("id"), 400_000)._jdf.queryExecution().analyzed().toString().startswith("ResolvedHint")
 
 
+def test_size_estimates_do_not_grow_with_rounds(spark):
+    label = settled(spark.range(40).select(F.col("id").alias("node"), (F.col("id") % 4).alias("comp")))
+    for _ in range(6):
+        by = F.broadcast(label.select(F.col("node").alias("comp"), F.col("comp").alias("next")))
+        label = settled(label.join(by, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")))
+    assert len(str(label._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 40
+    assert {(r["node"], r["comp"]) for r in label.collect()} == {(i, i % 4) for i in range(40)}
+
+
 def test_repeated_rows_give_a_pair_once(spark):
     texts = {k: " ".join(f"w{n}" for n in range(40) if n != k) for k in (1, 38, 39)}
     rows = spark.createDataFrame([*texts.items()] * 3, "id long, text string")
