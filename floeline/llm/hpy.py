@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floeline.llm.flat import lower_ascii, mix, prefix_hash, span_hash, text_slices, words
-from floeline.llm.shared import documents, release, remainder, settled
+from floeline.llm.shared import documents, release, remainder, settled, spending
 
 WORDS, HOT_SHARE = 16384, 100_000
 #: Restaurants whose totals every task has: of dictionary words, and of a document's start.
@@ -272,6 +272,11 @@ def _flushes(batches, keep_all: bool):
         yield tuple(np.concatenate([x[k] for x in held]) for k in range(5))
 
 
+def _short(x: np.ndarray, below: int) -> np.ndarray:
+    """The same numbers, all under ``below``, in 16 bits where they fit: these are sorted by radix, in the same order."""
+    return x.astype(np.uint16) if below <= 65536 else x
+
+
 def _split(bucket: np.ndarray, pack) -> pa.RecordBatch:
     """Rows (bucket, packed) of what is ordered by bucket."""
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, dtype=np.int64)
@@ -285,7 +290,7 @@ def count_words(rows: DataFrame, buckets: int) -> Counts:
         for _, _, h, _, _ in _flushes(batches, False):
             u, c = np.unique(h, return_counts=True)
             bucket = (u >> np.uint64(8)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
+            order = np.argsort(_short(bucket, buckets), kind="stable")
             u, c, bucket = u[order], c[order].astype(np.uint32), bucket[order]
             yield _split(bucket, lambda i, j, u=u, c=c: u[i:j].tobytes() + c[i:j].tobytes())
 
@@ -302,7 +307,8 @@ def count_words(rows: DataFrame, buckets: int) -> Counts:
         twos = np.concatenate([np.zeros(len(top), dtype=np.int64), [int((c == 2).sum())]])
         return pa.table({"kind": pa.array(kind, pa.int32()), "word": pa.array(word), "n": pa.array(number), "ones": pa.array(ones), "twos": pa.array(twos)})
 
-    merged = settled(rows.mapInArrow(send, "bucket long, packed binary").groupBy("bucket").applyInArrow(merge, "kind int, word long, n long, ones long, twos long"))
+    with spending(rows.sparkSession):
+        merged = settled(rows.mapInArrow(send, "bucket long, packed binary").groupBy("bucket").applyInArrow(merge, "kind int, word long, n long, ones long, twos long"))
     s = merged.filter("kind = 1").agg(F.sum("word"), F.sum("n"), F.sum("ones"), F.sum("twos")).first()
     if not s[1]:
         return Counts()
@@ -383,7 +389,7 @@ def seated(rows: DataFrame, counts: Counts, buckets: int) -> tuple[Counts, DataF
             order, first, w, r = _cells(h, room, None)
             n = np.add.reduceat(train[order].astype(np.uint32), first)
             bucket = _bucket_of(k, w, k.find(w), r, buckets)
-            order = np.argsort(bucket, kind="stable")
+            order = np.argsort(_short(bucket, buckets), kind="stable")
             w, r, n, bucket = w[order], r[order], n[order].astype(np.uint32), bucket[order]
 
             def pack(i, j, w=w, r=r, n=n):
@@ -434,9 +440,10 @@ def seated(rows: DataFrame, counts: Counts, buckets: int) -> tuple[Counts, DataF
         return pa.table({"kind": pa.array([x[0] for x in out], pa.int32()), "key": pa.array([int(x[1]) for x in out], pa.int64()), "a": pa.array([x[2] for x in out], pa.float64()), "b": pa.array([x[3] for x in out], pa.float64()), "packed": pa.array(blobs, pa.binary())})
 
     owners = 1 + buckets // 8
-    made = settled(rows.mapInArrow(send, "bucket long, packed binary").groupBy("bucket").applyInArrow(merge, "kind int, key long, a double, b double, packed binary"))
-    # At most RESTAURANTS + WORDS + 1 + HOT_SHARE rows.
-    got = made.filter("kind < 4").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
+    with spending(rows.sparkSession):
+        made = settled(rows.mapInArrow(send, "bucket long, packed binary").groupBy("bucket").applyInArrow(merge, "kind int, key long, a double, b double, packed binary"))
+        # At most RESTAURANTS + WORDS + 1 + HOT_SHARE rows.
+        got = made.filter("kind < 4").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
     counts.room_customers, counts.room_tables = np.zeros(RESTAURANTS), np.zeros(RESTAURANTS)
     counts.guests = np.zeros(len(counts.words))
     hot = []
@@ -508,7 +515,7 @@ def score_all(rows: DataFrame, counts: Counts, rare: DataFrame, buckets: int) ->
             rest = ~hot
             h, room, at, doc = h[rest], room[rest], at[rest], doc[rest]
             bucket = _bucket_of(k, h, at, room, buckets)
-            order = np.lexsort((doc, room, h, at < 0, bucket))
+            order = np.lexsort((_short(doc, docs), room, h, _short(2 * bucket + (at < 0), 2 * buckets)))
             h, at, room, doc, bucket = h[order], at[order], room[order], doc[order].astype(np.uint32), bucket[order]
 
             def pack(i, j, h=h, at=at, room=room, doc=doc, docs=docs, part=part, cut=cut):
@@ -567,6 +574,8 @@ def score_all(rows: DataFrame, counts: Counts, rare: DataFrame, buckets: int) ->
             parent = k.parent(g, t)
             if sweep >= BURN_IN:
                 chance += k.predictive(room, customers, seating.tables, parent)
+            if sweep == BURN_IN + SEATINGS - 1:
+                break
             tables = seating.sweep((THETA + DISCOUNT * k.room_tables[room]) * parent, DISCOUNT, rng)
             # The tables of words that are not in the dictionary are their customers in the parent.
             guests = guests.copy()
@@ -613,7 +622,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(8, int(size / 6 / BUCKET_TOKENS) + 1)
     counts = count_words(rows, buckets)
     counts, rare = seated(rows, counts, buckets)
-    release(rows.sparkSession)  # the shuffle files of the first two passes
+    release(rows.sparkSession)
     scored = score_all(rows, counts, rare, buckets)
     return scored.select(F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"))
 

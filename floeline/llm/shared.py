@@ -7,6 +7,7 @@ import gc
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,6 +106,19 @@ class Scratch:
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def spending(spark: SparkSession):
+    """Tables made and computed inside give up their shuffle files as soon as they are computed, not when the driver finds that
+    nothing refers to them, which it may not for the last ones. For what is settled or collected inside, once."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    had = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, had)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the broadcasts, shuffle files and checkpoints that nothing refers to, and the driver shrink its heaps."""
     gc.collect()

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -288,6 +289,27 @@ def test_frequent_cells_are_seated_several_times(spark, docs, monkeypatch):
     assert math.isclose(several.sum(), many.sum(), rel_tol=0.1)
 
 
+def test_first_passes_leave_no_large_shuffle_files(spark, docs):
+    rows = docs.selectExpr("doc_id AS id", "crc32(cast(cast(doc_id AS string) AS binary)) % 10 = 0 AS held_out", "text")
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    had, left = set(disk.getAllBlocks().mkString(" ").split()), None
+    kept = hpy.seated(rows, hpy.count_words(rows, 8), 8)
+    for _ in range(50):
+        # Files go in the background.
+        left = {b for b in set(disk.getAllBlocks().mkString(" ").split()) - had if b.startswith("shuffle_") and b.endswith(".data")}
+        if sum(disk.getFile(b).length() for b in left) < 100_000:
+            break
+        time.sleep(0.1)
+    assert sum(disk.getFile(b).length() for b in left) < 100_000 and kept
+
+
+def test_sorting_keys_keep_their_order():
+    rng = np.random.default_rng(3)
+    for below in (1000, 65536, 65537):
+        x = rng.integers(0, below, 5000)
+        assert (np.argsort(hpy._short(x, below), kind="stable") == np.argsort(x, kind="stable")).all()
+
+
 def test_rare_contexts_have_restaurants_of_their_own(docs, monkeypatch):
     words = hpy._tokens(np.frombuffer(b" ".join(b"w%d" % k for k in range(9000)), dtype=np.uint8), np.array([0, len(b" ".join(b"w%d" % k for k in range(9000)))]))[0][:-1]
     assert len(np.unique(hpy._rooms(hpy.Counts(), words))) == len(words) > 8000
