@@ -79,6 +79,16 @@ class Counts:
         """Place in the dictionary, or -1."""
         if not len(self.words):
             return np.full(len(h), -1, dtype=np.int64)
+        # Of many hashes, the few words that share the first 18 bits are looked at.
+        if len(h) > 1 << 18:
+            begin = np.searchsorted(self.words >> np.uint64(46), np.arange((1 << 18) + 1, dtype=np.uint64))
+            if (most := int(np.diff(begin).max())) <= 8:
+                spot, out = begin[(h >> np.uint64(46)).astype(np.int64)], np.full(len(h), -1, dtype=np.int64)
+                padded = np.append(self.words, np.full(most, self.words[0] if most else 0))
+                for step in range(most):
+                    hit = np.flatnonzero(padded[spot + step] == h)
+                    out[hit] = (spot[hit] + step) % len(self.words)
+                return out
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return np.where(self.words[at] == h, at, -1)
 
@@ -209,9 +219,12 @@ def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return out, before, owner
 
 
-def _rooms(counts: Counts, before: np.ndarray) -> np.ndarray:
-    """The restaurant of each context: its place in the dictionary, START, or for all others the hash as a negative number."""
-    at = counts.find(before)
+def _rooms(counts: Counts, before: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """The restaurant of each context: its place in the dictionary, START, or for all others the hash as a negative number.
+
+    ``at``: places of the tokens themselves, where ``before`` are all of them, one on.
+    """
+    at = counts.find(before) if at is None else np.concatenate([[-1], at[:-1]])
     return np.where(before == 0, START, np.where(at >= 0, at, (before | np.uint64(1 << 63)).view(np.int64)))
 
 
@@ -491,7 +504,8 @@ def score_all(rows: DataFrame, counts: Counts, rare: DataFrame, buckets: int) ->
         k = shared.value
         here, turn = TaskContext.get().partitionId(), 0
         for ids, out, h, before, doc in _flushes(batches, True):
-            room, at, docs = _rooms(k, before), k.find(h), len(ids)
+            at, docs = k.find(h), len(ids)
+            room = _rooms(k, before, at)
             # Documents of the training part come first, so that a number says which part a document is of.
             order = np.argsort(out, kind="stable")
             place = np.empty(docs, dtype=np.int64)

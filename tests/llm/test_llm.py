@@ -310,6 +310,19 @@ def test_sorting_keys_keep_their_order():
         assert (np.argsort(hpy._short(x, below), kind="stable") == np.argsort(x, kind="stable")).all()
 
 
+def test_many_tokens_are_found_like_few():
+    rng = np.random.default_rng(8)
+    for words_ in (np.unique(rng.integers(0, 1 << 63, 9000).astype(np.uint64) * np.uint64(2)), np.arange(9, dtype=np.uint64), np.array([7, 1 << 63, (1 << 64) - 1], dtype=np.uint64)):
+        k = hpy.Counts(words=words_)
+        h = np.where(rng.random(300_000) < 0.5, rng.choice(words_, 300_000), rng.integers(0, 1 << 63, 300_000).astype(np.uint64))
+        want = {int(w): n for n, w in enumerate(words_)}
+        assert k.find(h).tolist() == [want.get(x, -1) for x in h.tolist()]
+        assert (np.concatenate([k.find(x) for x in np.split(h, 10)]) == k.find(h)).all()
+        before = np.concatenate([[np.uint64(0)], h[:-1]])
+        before[::7] = 0
+        assert (hpy._rooms(k, before, k.find(h)) == hpy._rooms(k, before)).all()
+
+
 def test_rare_contexts_have_restaurants_of_their_own(docs, monkeypatch):
     words = hpy._tokens(np.frombuffer(b" ".join(b"w%d" % k for k in range(9000)), dtype=np.uint8), np.array([0, len(b" ".join(b"w%d" % k for k in range(9000)))]))[0][:-1]
     assert len(np.unique(hpy._rooms(hpy.Counts(), words))) == len(words) > 8000
