@@ -29,7 +29,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from floeline.llm.shared import documents, fresh, release, settled, small
+from floeline.llm.shared import documents, estimated, fresh, release, small
 
 #: Every so many steps of Newton, which never leave the bracket of the root, the bracket is halved instead, so that they end.
 HALVING = 4
@@ -118,7 +118,7 @@ def dual(histogram: DataFrame, goals: DataFrame, most: float = 3.0) -> DataFrame
         moved = F.when(done, F.col("lam")).when(newton, F.col("next")).otherwise((F.col("low") + F.col("high")) / 2)
         tilt = tilt.select("source", "target", "scale", moved.alias("lam"), "low", "high", done.alias("done"))
         if step % 2:
-            tilt = settled(tilt)
+            tilt = estimated(tilt)
             if tilt.filter("NOT done").isEmpty():
                 return tilt
             release(tilt.sparkSession)
@@ -157,18 +157,18 @@ def _spread(cells: DataFrame, most: int) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies, rate, source."""
     release(docs.sparkSession)
-    sized = settled(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size")))
-    goals = settled(targets(sized, weights, share, float(most)))
-    histogram = settled(sized.groupBy("source", "size").agg(F.count("*").alias("docs")))
-    tilt = settled(dual(histogram, goals, float(most)))
+    sized = estimated(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size")))
+    goals = estimated(targets(sized, weights, share, float(most)))
+    histogram = estimated(sized.groupBy("source", "size").agg(F.count("*").alias("docs")))
+    tilt = estimated(dual(histogram, goals, float(most)))
     near = lambda left, right: left.join(right.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     rated = near(histogram.filter("size > 0"), tilt.select("source", "lam", "scale")).withColumn("rate", _rate(F.col("lam") * F.col("size") / F.col("scale"), float(most)))
-    cells = settled(_spread(rated.select("source", "size", "docs", (F.col("docs") * F.col("rate")).alias("wish")), most))
+    cells = estimated(_spread(rated.select("source", "size", "docs", (F.col("docs") * F.col("rate")).alias("wish")), most))
     # In a cell, every document gets the whole part; the rest goes to the first by hash.
     cells = cells.select(F.col("source").alias("s"), F.col("size").alias("z"), F.floor(F.col("copies") / F.col("docs")).alias("base"), (F.col("copies") % F.col("docs")).alias("more"), "docs")
     cells = cells.withColumn("salts", F.ceil(F.col("docs") / SALT_ROWS))
     at = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
-    placed = sized.join(small(settled(cells), CELLS), at, "left").withColumn("hash", F.xxhash64(F.lit(41), F.col("doc_id"))).withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64(F.lit(43), F.col("doc_id")), F.col("salts"))).otherwise(F.lit(0)))
+    placed = sized.join(small(estimated(cells), CELLS), at, "left").withColumn("hash", F.xxhash64(F.lit(41), F.col("doc_id"))).withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64(F.lit(43), F.col("doc_id")), F.col("salts"))).otherwise(F.lit(0)))
     # How many of the further copies each salt of a large cell gets: by running counts, so they add up.
     large = placed.filter("salts > 1").groupBy("s", "z", "salt", "more", "docs").agg(F.count("*").alias("n"))
     running = F.sum("n").over(Window.partitionBy("s", "z").orderBy("salt"))

@@ -40,6 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def estimated(df: DataFrame) -> DataFrame:
+    """As ``settled``, with Spark's own estimate of the size, which joins of small tables are planned by: always in one way."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def settled(df: DataFrame, rows: int | None = None) -> DataFrame:
     """The rows, computed once and kept in the shared folder; later reads survive lost executors.
 
