@@ -4,11 +4,13 @@ import hashlib
 import math
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +91,20 @@ def test_bpe_equals_the_library(docs):
     assert {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs)).collect()} == {i: library.decode(library.encode(t, add_special_tokens=False).ids, skip_special_tokens=False) for i, t in texts.items()}
 
 
+def test_bpe_holds_little_of_a_batch(docs):
+    """Of a batch of six megabytes, what is held at once is the work of one slice (an executor's two workers do it at a time)."""
+    coder = bpe.WordBpe(bpe.load())
+    texts = [r.text for r in docs.filter("text IS NOT NULL").select("text").collect()]
+    texts *= 1 + (6 << 20) // sum(len(t.encode()) for t in texts)
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in bpe._digests(coder, batch)) == len(texts)
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_mix_meets_targets(docs):
     rows = mixing.mix(docs).collect()
     taken, target = Counter(), {}
