@@ -13,7 +13,7 @@ from floeline.operators.claims import candidates
 from floeline.operators.waits import resolutions
 from floeline.plans.state_queries import EVENT_AT, QUERIES, SLOTS, text_for
 from floeline.sources.shared import numbered, settled
-from floeline.sources.state import NOW, duck_sql, run_sql, table
+from floeline.sources.state import NOW, dealt_steps, duck_sql, run_sql, table
 from floeline.streaming.events import bound_runs, drained, emitted_stream
 
 
@@ -61,10 +61,11 @@ def _purged(s: State) -> DataFrame:
 
 
 def _groups(s: State) -> DataFrame:
+    steps, tasks = dealt_steps(s.spark, s.sf_dir)
     late = F.col("ord") >= 2
     after = F.when(late, F.array(F.lit("early"))).otherwise(F.array().cast("array<string>"))
-    groups = s.steps.select("run_id", F.col("name").alias("step"), F.when(late, "late").otherwise("early").alias("grp"), after.alias("after"))
-    return tr.group_members(groups, groups)
+    groups = steps.select("run_id", F.col("name").alias("step"), F.when(late, "late").otherwise("early").alias("grp"), after.alias("after"))
+    return tr.group_members(groups, groups, tasks)
 
 
 #: What the operators give with the parameters of the oracles' texts.

@@ -65,6 +65,8 @@ SUBSCRIPTIONS = "SELECT 'purchase' AS event, 'charge' AS task UNION ALL SELECT '
 #: In order of dependence.
 TABLES = {"runs": RUNS, "steps": STEPS, "step_keys": STEP_KEYS, "logs": LOGS, "emitted": EMITTED, "waits": WAITS, "queue_pauses": PAUSES, "subscriptions": SUBSCRIPTIONS}
 DRIVER = ("orders", "lineitem", "events")
+#: Steps that a task sorts, about, where they are dealt by their number.
+TASK_ROWS = 250_000
 
 
 def _said(text: str, engine: dict) -> str:
@@ -89,6 +91,17 @@ def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(_said(text, SPARK), **{n: table(spark, sf_dir, n) for n in _names(text)})
 
 
+def dealt_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
+    """The steps, numbered in as many tasks as their number asks for, so that a task's memory does not grow with the table; that
+    number of tasks, the session's at least, or None for a table of one task, which Spark deals as it likes."""
+    lines = table(spark, sf_dir, "lineitem")
+    tasks = 1 + lines.count() // TASK_ROWS
+    if tasks == 1:
+        return table(spark, sf_dir, "steps"), None
+    tasks = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.sql(_said(STEPS, SPARK), lineitem=lines.repartition(tasks, "l_orderkey"), runs=table(spark, sf_dir, "runs")), tasks
+
+
 def duck_sql(text: str) -> str:
     """The same for DuckDB over the driver's views: state tables become common table expressions."""
     needed: dict[str, str] = {}
